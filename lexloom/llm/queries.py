@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
-from lexloom.llm import quality_rules
+from pathlib import Path
+
+from lexloom.llm import mixing, pieces, quality_rules, resharding
 from lexloom.llm.common import table
 
 
+def model_bytes(path: str | None = None) -> bytes:
+    """A SentencePiece model as bytes; they travel with the task, so executors need no file."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return Path(path).read_bytes()
+
+
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": quality_rules.sql()}
+def op2_source_mixing(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), model_bytes())
+
+
+def op10_resharding(spark, sf_dir):
+    return resharding.reshard_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_source_mixing": op2_source_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_resharding": op10_resharding,
+}
+ORACLES = {"op1_quality_rules": quality_rules.sql(), "op2_source_mixing": mixing.sql()}
