@@ -1,12 +1,14 @@
-"""Shared plumbing of the training-data operators: table access and staged tables."""
+"""Shared plumbing of the training-data operators."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.plans.staging import shared_dir, staged, unstage
+
+__all__ = ["WS", "shared_dir", "staged", "table", "unstage", "words_of"]
+
 #: White space that separates words everywhere in this subpackage, as a regex class body.
 WS = r"\x20\x09-\x0D"
 
@@ -15,33 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return configured or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words_of(text) -> F.Column:
     """The array of words of a text column (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{WS}]+"), "")
-
-
-def as_long(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})

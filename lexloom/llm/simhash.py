@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import staged
-from lexloom.llm.components import components
+from lexloom.plans.components import components
 
 SEED = 42
 MAX_BITS = 2
@@ -80,8 +80,8 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _cell_keys(fp: Column) -> Column:
-    """Keys of the cells of a fingerprint: pivot coordinates, less the base's, of every choice of GROUPS - MAX_BITS groups."""
+def _cell_keys(fp: Column) -> tuple[list[Column], list[tuple[int, ...]]]:
+    """One code for each group of block pivots (their coordinates less the base's), and the choices of GROUPS - MAX_BITS groups."""
     pivots = pivot_table()
     blocks = 64 // BLOCK_BITS
     far = lambda p: F.bit_count(fp.bitwiseXOR(F.lit(p)))
