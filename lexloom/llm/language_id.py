@@ -185,11 +185,15 @@ def gradients(net: Network, data: np.ndarray, live: np.ndarray, label: np.ndarra
 def fit(docs: DataFrame, where: Column, per_lang: int = PER_LANG) -> Network | None:
     """Fit on up to per_lang documents of each of the MAX_LANGS commonest languages."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & where)
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not langs:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    if not counts:
         return None
+    # A hash threshold for each language leaves a few times per_lang of its rows, so that ranking them stays small.
+    few = F.lit(False)
+    for lang, n in counts.items():
+        few = few | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, 4 * per_lang / n)))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_lang)
+    ids = rows.filter(few).select("doc_id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_lang)
     picked = ids.select("doc_id", "lang").collect()
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "doc_id long, lang string")
     text = F.substring("text", 1, FIT_CHARS)
