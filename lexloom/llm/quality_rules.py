@@ -131,7 +131,11 @@ def quality_report(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def clean_documents(df: DataFrame, rules: Rules = Rules(), n_chars: str | None = "n_chars") -> DataFrame:
     """Kept documents with their failing lines removed; the columns of df stay as they are otherwise."""
     cols = df.columns
-    out = with_measures(df, rules=rules).filter("_q.kept").withColumn("text", F.col("_q.clean_text"))
+    # A filter on the verdict would be pushed below the measures and compute them twice; the rows of a generator are
+    # filtered above it.
+    out = with_measures(df, rules=rules)
+    out = out.withColumn("_kept", F.explode_outer(F.when(F.col("_q.kept"), F.array(F.struct(F.col("_q.clean_text").alias("text"))))))
+    out = out.filter("_kept is not null").withColumn("text", F.col("_kept.text"))
     if n_chars in cols:
         out = out.withColumn(n_chars, F.length("text").cast(df.schema[n_chars].dataType))
     return out.select(*cols)
