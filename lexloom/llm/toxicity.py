@@ -199,19 +199,25 @@ def train(texts: list[str], labels: list[int], epochs: int = 25) -> Tagger:
     blank = Tagger(np.zeros(DIMS), np.zeros((2, 2)), np.array([0.0, -6.0]), np.zeros(5), fitted=False)
     if len(set(labels)) < 2:
         return blank
-    tokens = [_TOKEN.findall(t.lower()) for t in texts]
-    types = {w: k for k, w in enumerate(dict.fromkeys(w for ws in tokens for w in ws))}
-    table = np.array([features(w) for w in types], np.int64).reshape(-1, 7)
+    types: dict[str, int] = {}
+    ids = []
+    for t in texts:  # token lists of all documents together would crowd the driver
+        ids.append(np.array([types.setdefault(w, len(types)) for w in _TOKEN.findall(t.lower())], np.int32))
+    table = np.empty((len(types), 7), np.int32)
+    for k, w in enumerate(types):
+        table[k] = features(w)
+    del types
     usable = table[:, [0, 3, 4, 5, 6]]  # the word and its beginnings can mark tokens
     skip = zlib.crc32(b"-") % DIMS
-    ids = [np.fromiter((types[w] for w in ws), np.int64, len(ws)) for ws in tokens]
     marks = marking_features([np.setdiff1d(usable[np.unique(i)], skip) for i in ids], y)
     marked = np.isin(usable, np.fromiter(marks, np.int64, len(marks))).any(axis=1)
     sizes = [len(i) for i in ids]
     flat, real = chained(sizes)
     token = np.concatenate(ids)
     gold = marked[token] & np.repeat(y == 1, sizes)
-    g_table = np.zeros(real.shape)
+    place = np.zeros(real.shape, np.int32)
+    place.reshape(-1)[flat] = token
+    g_table = np.zeros(real.shape, np.int8)
     g_table.reshape(-1)[flat] = gold
     g_pair = np.zeros((2, 2))
     for i in (0, 1):
@@ -221,31 +227,41 @@ def train(texts: list[str], labels: list[int], epochs: int = 25) -> Tagger:
     weights, move, start = np.zeros(DIMS), np.zeros((2, 2)), np.array([0.0, -4.0])
     move[:, 1] = -4.0
     square = np.full(DIMS, 1e-3)
-    gold_sum = np.bincount(token, gold, len(types))
+    gold_sum = np.bincount(token, gold, len(table))
     for epoch in range(epochs):
-        emit = np.zeros(real.shape)
-        emit.reshape(-1)[flat] = weights[table].sum(axis=1)[token]
-        p, pair, first = np.zeros(real.shape), np.zeros((2, 2)), np.zeros(2)
-        for s in range(0, len(emit), 8192):
-            p[s : s + 8192], more, begins = marginals(emit[s : s + 8192], real[s : s + 8192], move, start)
+        tagged, pair, first = np.zeros(len(table)), np.zeros((2, 2)), np.zeros(2)
+        solo = weights[table].sum(axis=1)
+        for s in range(0, len(real), 4096):
+            live = real[s : s + 4096]
+            emit = np.zeros(live.shape)
+            some = place[s : s + 4096][live]
+            emit[live] = solo[some]
+            p, more, begins = marginals(emit, live, move, start)
+            tagged += np.bincount(some, p[live], len(table))
             pair += more
             first += begins
-        slope = gold_sum - np.bincount(token, p.reshape(-1)[flat], len(types))
+        slope = gold_sum - tagged
         g = np.bincount(table.reshape(-1), np.repeat(slope, table.shape[1]), DIMS) - 0.02 * weights
         g[skip] = 0
         square += g * g
         weights += 0.6 * g / np.sqrt(square)
         move += 0.5 * (g_pair - pair) / np.maximum(g_pair.sum(axis=1, keepdims=True), 1)
         start += 0.5 * (g_start - first) / max(g_start.sum(), 1)
-    tagger = Tagger(weights, move, start, np.zeros(5))
-    _, each = tagger.documents(texts, {})
-    x, w = pooled(each), np.zeros(5)
+    solo = weights[table].sum(axis=1)
+    p = np.zeros(len(token))
+    filled = np.zeros(real.shape, np.float32)
+    for s in range(0, len(real), 4096):
+        live = real[s : s + 4096]
+        emit = np.zeros(live.shape)
+        emit[live] = solo[place[s : s + 4096][live]]
+        filled[s : s + 4096] = odds_marginals(emit, live, move, start)
+    p = filled.reshape(-1)[flat].astype(float)
+    x, w = pooled(np.split(p, np.cumsum(sizes)[:-1])), np.zeros(5)
     for _ in range(30):  # Newton steps of a lightly penalised logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (y - q) - 0.1 * w
         w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(5), grad)
-    tagger.layer = w
-    return tagger
+    return Tagger(weights, move, start, w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column, per_label: int = PER_LABEL) -> Tagger:
