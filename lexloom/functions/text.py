@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,8 +113,6 @@ PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "ﬁ": "fi", "ﬂ": "fl
 
 def repair_unicode(text: Column, fixer=None) -> Column:
     """Unicode repair in Arrow batches: `fixer` (text to text) if given, else plain quotes and ligatures in NFC."""
-    import pandas as pd
-
     plain = str.maketrans(PLAIN)
     fix = fixer or (lambda s: unicodedata.normalize("NFC", s.translate(plain)))
 
