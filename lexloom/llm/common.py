@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.plans.staging import shared_dir, staged, unstage
 
-__all__ = ["WS", "shared_dir", "staged", "table", "unstage", "words_of"]
+__all__ = ["WS", "packed", "shared_dir", "staged", "table", "unpacked", "unstage", "words_of"]
 
 #: White space that separates words everywhere in this subpackage, as a regex class body.
 WS = r"\x20\x09-\x0D"
@@ -20,3 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_of(text) -> F.Column:
     """The array of words of a text column (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{WS}]+"), "")
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """All columns in one struct `_row`, so that no working column can clash with them, beside the named ones."""
+    return df.select(F.struct("*").alias("_row"), *names)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The packed columns again, some of them replaced."""
+    return df.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in columns])

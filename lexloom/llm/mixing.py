@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged, words_of
+from lexloom.llm.common import packed, staged, unpacked, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -130,14 +130,14 @@ def mix_report(df: DataFrame, seed: int = 7) -> DataFrame:
     return out.select("doc_id", "size", F.col("_m.source_size").alias("source_size"), F.col("_m.target").alias("target"), (F.col("size") * F.size("_m.shards")).cast("long").alias("taken"), F.array_join(F.col("_m.shards").cast("array<string>"), ",").alias("shards"))
 
 
-def mixed_documents(df: DataFrame, seed: int = 7, shards: bool = False) -> DataFrame:
-    """The mix itself: every document as often as it is taken, dealt to its shard and shuffled inside it."""
+def mixed_documents(df: DataFrame, seed: int = 7, shards: str | None = None) -> DataFrame:
+    """The mix itself: every document as often as it is taken, dealt to its shard (added under the name `shards`) and shuffled inside it."""
     cols = df.columns
     plan = block_plan(staged(_sized(df), "mix-sizes"), seed)
-    out = _decided(df, plan, seed).withColumn("_shard", F.explode("_m.shards"))
-    out = out.withColumn("_key", F.xxhash64(F.lit(seed), F.col("_m.h"), F.col("_shard"))).drop("_m")
+    out = _decided(packed(df, "doc_id", "source"), plan, seed).withColumn("_shard", F.explode("_m.shards"))
+    out = out.withColumn("_key", F.xxhash64(F.lit(seed), F.col("_m.h"), F.col("_shard"))).select("_row", "_shard", "_key")
     out = out.repartitionByRange(F.col("_shard"), F.col("_key")).sortWithinPartitions("_shard", "_key")
-    return out.select(*cols, *([F.col("_shard").alias("shard")] if shards else []))
+    return out.select("_row.*", F.col("_shard").alias(shards)) if shards else unpacked(out, cols)
 
 
 def sql(seed: int = 7) -> str:

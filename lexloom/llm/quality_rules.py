@@ -4,8 +4,8 @@ Every line is judged on its own by three rules, failing lines are removed, and a
 of its words is rejected. Document-level base counts are reported beside the verdict.
 
 Defined edge cases: a null text has no lines and no words (all counts 0, base_failed, not kept); an empty text likewise.
-Equal rows give equal rows; other columns of the input pass through `clean_documents` untouched and never clash, since
-intermediate columns live in one struct. An empty table gives an empty result.
+Equal rows give equal rows; other columns of the input pass through `clean_documents` untouched and never clash: they
+travel in one struct beside the working columns. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WS, words_of
+from lexloom.llm.common import WS, packed, unpacked, words_of
 
 # Phrases that mark a line as page furniture, compared in lower case.
 BOILERPLATE = (
@@ -133,12 +133,13 @@ def clean_documents(df: DataFrame, rules: Rules = Rules(), n_chars: str | None =
     cols = df.columns
     # A filter on the verdict would be pushed below the measures and compute them twice; the rows of a generator are
     # filtered above it.
-    out = with_measures(df, rules=rules)
+    out = with_measures(packed(df, "text"), rules=rules)
     out = out.withColumn("_kept", F.explode_outer(F.when(F.col("_q.kept"), F.array(F.struct(F.col("_q.clean_text").alias("text"))))))
-    out = out.filter("_kept is not null").withColumn("text", F.col("_kept.text"))
+    out = out.filter("_kept is not null")
+    new = {"text": F.col("_kept.text")}
     if n_chars in cols:
-        out = out.withColumn(n_chars, F.length("text").cast(df.schema[n_chars].dataType))
-    return out.select(*cols)
+        new[n_chars] = F.length("_kept.text").cast(df.schema[n_chars].dataType)
+    return unpacked(out, cols, **new)
 
 
 def sql(rules: Rules = Rules()) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged
+from lexloom.llm.common import packed, staged, unpacked
 from lexloom.plans.components import components
 
 SEED = 42
@@ -167,5 +167,6 @@ def deduplicated(df: DataFrame) -> DataFrame:
     """One document of each group: the row whose doc_id names the component, first by text hash if rows share a doc_id."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     keep = near_duplicates(df).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"), F.xxhash64(*df.columns)))
-    return df.withColumn("_key", key("doc_id")).join(keep, "_key", "left_semi").withColumn("_at", one).filter("_at = 1").select(*df.columns)
+    rows = packed(df, key("doc_id").alias("_key"), F.xxhash64("text").alias("_hash")).join(keep, "_key", "left_semi")
+    one = F.row_number().over(Window.partitionBy("_key").orderBy("_hash", F.xxhash64("_row")))
+    return unpacked(rows.withColumn("_at", one).filter("_at = 1"), df.columns)
