@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import SPACE, tokens
 
+#: rows of a block of queries, of the part of it that is compared at once, and of a block of vectors
+QUERY_BLOCK, QUERY_SLICE, VECTOR_BLOCK = 4096, 256, 8192
+
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
     """qid, doc_id, rank, score: the best k by (score, id). Spark limits each group per task before the shuffle."""
@@ -29,18 +34,55 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: f
     return ranked(scored.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
-def unit(vector: str) -> Column:
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / norm)
+def _directions(column: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (places, unit vectors) of the vectors that have a direction: no null, zero or non-finite ones."""
+    by_length: dict[int, list[int]] = {}
+    for at, v in enumerate(column):
+        if v is not None and len(v):
+            by_length.setdefault(len(v), []).append(at)
+    out = {}
+    for length, places in by_length.items():
+        x = np.array([list(column.iloc[at]) for at in places], float)
+        norm = np.sqrt((x * x).sum(axis=1))
+        fine = np.isfinite(norm) & (norm > 0)
+        out[length] = (np.array(places)[fine], x[fine] / norm[fine, None])
+    return out
+
+
+def nearest_in_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of one block of vectors for every query of one block of queries."""
+    asked, known = _directions(queries.embedding), _directions(vectors.embedding)
+    qids, ids = queries.qid.to_numpy(), vectors.doc_id.to_numpy()
+    found = [(qids[:0], ids[:0], np.zeros(0))]
+    for length in asked.keys() & known.keys():
+        (q_at, q), (v_at, v) = asked[length], known[length]
+        for start in range(0, len(q), QUERY_SLICE):
+            score = np.round(q[start : start + QUERY_SLICE] @ v.T, 6)
+            for row, at in zip(score, q_at[start : start + QUERY_SLICE]):
+                row[ids[v_at] == qids[at]] = -np.inf
+                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                some = np.flatnonzero((row >= least) & (row > -np.inf))
+                some = some[np.lexsort((ids[v_at[some]], -row[some]))][:k]
+                found.append((np.repeat(qids[at], len(some)), ids[v_at[some]], row[some]))
+    return pd.DataFrame({c: np.concatenate(parts) for c, parts in zip(("qid", "doc_id", "score"), zip(*found))})
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Cosine k nearest neighbours of every query among all other vectors. Both: vec_id, embedding."""
-    q = queries.select(F.col("vec_id").alias("qid"), unit("embedding").alias("q"))
-    v = vectors.select(F.col("vec_id").alias("doc_id"), unit("embedding").alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, c: a * c), F.lit(0.0), lambda a, x: a + x)
-    return ranked(v.crossJoin(q).filter("qid != doc_id").select("qid", "doc_id", F.round(dot, 6).alias("score")), k)
+    """Cosine k nearest neighbours of every query among all other vectors. Both: vec_id, embedding.
+
+    Queries meet vectors block by block, so a task holds one block of each whatever the size of the tables, and passes on
+    at most k rows for each query. Vectors without an id or a direction (null, empty, zero or non-finite) and vectors of
+    another length than the query's are nobody's neighbours.
+    """
+    q = queries.filter("vec_id is not null").select(F.col("vec_id").alias("qid"), "embedding")
+    v = vectors.filter("vec_id is not null").select(F.col("vec_id").alias("doc_id"), "embedding")
+    n_q, n_v = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("i", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("j", every(n_v))
+    v = v.withColumn("j", F.pmod(F.xxhash64("doc_id"), F.lit(n_v)).cast("int")).withColumn("i", every(n_q))
+    types = [df.schema[c].dataType.simpleString() for df, c in ((q, "qid"), (v, "doc_id"))]
+    met = q.groupBy("i", "j").cogroup(v.groupBy("i", "j"))
+    return ranked(met.applyInPandas(lambda a, b: nearest_in_block(a, b, k), f"qid {types[0]}, doc_id {types[1]}, score double"), k)
 
 
 def rerank(run: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:

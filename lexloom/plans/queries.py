@@ -280,8 +280,8 @@ def q27_variant_clusters(spark, sf_dir):
 
 @query()
 def q28_weighted_distance(spark, sf_dir):
-    keys = spark.createDataFrame([(k,) for k, _ in L.CANONICAL_MAP], "key string")
-    pairs = _vocab(spark, sf_dir, "benchmark").select("token").crossJoin(F.broadcast(keys))  # as many keys as the literal map
+    keys = F.array(*[F.lit(k) for k, _ in L.CANONICAL_MAP])
+    pairs = _vocab(spark, sf_dir, "benchmark").select("token", F.explode(keys).alias("key"))
     t, k = F.col("token"), F.col("key")
     return pairs.select(t, k, F.round(weighted_edit_distance(t, k), 6).alias("distance"), F.round(phonetic_similarity(t, k), 6).alias("similarity"))
 

@@ -143,3 +143,22 @@ def test_tsv_keeps_quotes(spark, tmp_path):
     (tmp_path / "v").mkdir()
     (tmp_path / "v" / "a.tsv").write_text("token\trows\nacha\t4\n\nplain\n")
     assert sorted((r["token"], r["freq"]) for r in text_tables.read_vocabulary(spark, str(tmp_path / "v")).collect()) == [("acha", 4), ("plain", None)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 20)
+    x = np.random.default_rng(5).standard_normal((90, 6)).astype(np.float32)
+    x[40:60] = x[40]  # ties go to the lesser id
+    odd = [(900, None), (901, []), (902, [0.0] * 6), (903, [float("nan")] * 6), (904, [1.0, 2.0]), (None, [1.0] * 6)]
+    vectors = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id % 10 = 0 or vec_id > 899 or vec_id is null")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 90, 10):
+        near = sorted((-round(float(u[q] @ u[d]), 6), d) for d in range(90) if d != q)
+        want |= {(q, rank): d for rank, (_, d) in enumerate(near[:7], 1)}
+    assert {(r["qid"], r["rank"]): r["doc_id"] for r in retrieve.nearest(queries, vectors, k=7).collect()} == want
+    assert retrieve.nearest(queries.filter("false"), vectors).count() == 0 and retrieve.nearest(queries, vectors.filter("false")).count() == 0
