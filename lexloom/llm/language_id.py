@@ -194,11 +194,12 @@ def fit(docs: DataFrame, where: Column, per_lang: int = PER_LANG) -> Network | N
         few = few | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, 4 * per_lang / n)))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.filter(few).select("doc_id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_lang)
-    picked = ids.select("doc_id", "lang").collect()
+    picked = ids.select("doc_id", "lang").distinct().collect()
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "doc_id long, lang string")
     text = F.substring("text", 1, FIT_CHARS)
-    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull()).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    hits = docs.select("doc_id", text.alias("text")).join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull())
+    got = hits.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return train([r["text"] for r in got], [r["lang"] for r in got]) if got else None
 
 

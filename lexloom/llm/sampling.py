@@ -22,12 +22,13 @@ def labelled_ids(labels: DataFrame, label: str, per_label: int, where: Column) -
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_label: int, where: Column) -> tuple[list[str], list[int]]:
-    """Texts and labels of the sample. Only its ids, at most 2 * per_label, are broadcast."""
+    """Texts and labels of the sample. Only its ids, at most 2 * per_label, are broadcast, and one text of each id is collected."""
     ids = labelled_ids(labels, label, per_label, where)
     if not ids:
         return [], []
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull()).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    hits = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull())
+    rows = hits.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [ids[r["doc_id"]] for r in rows]

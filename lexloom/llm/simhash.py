@@ -67,17 +67,17 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64-bit)."""
+    """doc_id, h (hash of the text), fp (signed 64-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                fps = [fingerprint(x.as_py() or b"") for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+                fps = [fingerprint(x.as_py() or b"") for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())], names=["doc_id", "h", "fp"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return df.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint")
 
 
 def _cell_keys(fp: Column) -> tuple[list[Column], list[tuple[int, ...]]]:
@@ -152,21 +152,32 @@ def links(nodes: DataFrame) -> DataFrame:
     return _near_links(small).union(far.distinct())
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), n_equal (documents with this fingerprint)."""
+def _grouped(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, h, fp of every row; groups: fp, root, n_equal, first (struct of the group's first row: blank, doc_id, h)."""
     docs = staged(fingerprints(df), "simhash-fp")
-    nodes = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_equal")), "simhash-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "h"))
+    nodes = staged(docs.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n_equal")), "simhash-nodes")
     roots = components(links(nodes.select("fp")))
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    named = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    labelled = labelled.select("fp", "root", "n_equal").join(named, "root").select("fp", "component_id", "n_equal")
+    named = labelled.groupBy("root").agg(F.min("first").alias("first"))
+    return docs, labelled.select("fp", "root", "n_equal").join(named, "root")
+
+
+def near_duplicates(df: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), n_equal (documents with this fingerprint)."""
+    docs, groups = _grouped(df)
+    labelled = groups.select("fp", F.col("first.doc_id").alias("component_id"), "n_equal")
     return docs.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
-    """One document of each group: the row whose doc_id names the component, first by text hash if rows share a doc_id."""
+    """One document of each group: the row with the least doc_id (nulls last), by text hash among rows that share it.
+
+    Rows are found by doc_id and text hash together, so groups whose documents have no doc_id, or the same one, keep one each.
+    """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    keep = near_duplicates(df).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
-    rows = packed(df, key("doc_id").alias("_key"), F.xxhash64("text").alias("_hash")).join(keep, "_key", "left_semi")
-    one = F.row_number().over(Window.partitionBy("_key").orderBy("_hash", F.xxhash64("_row")))
+    _, groups = _grouped(df)
+    keep = groups.select(key("first.doc_id").alias("_key"), F.col("first.h").alias("_hash")).distinct()
+    rows = packed(df, key("doc_id").alias("_key"), F.xxhash64("text").alias("_hash")).join(keep, ["_key", "_hash"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.xxhash64("_row")))
     return unpacked(rows.withColumn("_at", one).filter("_at = 1"), df.columns)
