@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from lexloom.functions import lexicon as L
 from lexloom.functions import text as T
-from lexloom.functions.kernels import phonetic_similarity, weighted_edit_distance
+from lexloom.functions.kernels import matcher_ratio, phonetic_similarity, weighted_edit_distance
 from lexloom.operators import adjudicate, canon, classify, dedup, evaluate, normalize, retrieve, vocab
 from lexloom.plans.staging import shared_dir, staged
 from lexloom.sources import text_tables
@@ -135,6 +136,12 @@ def q10_fuzzy_english(spark, sf_dir):
     return classify.fuzzy_matches(plain(_vocab(spark, sf_dir), "token"), plain(_english(spark, sf_dir, N_LEMMAS), "word"), _english(spark, sf_dir, N_COMMON))
 
 
+@query()
+def q10b_fuzzy_any_script(spark, sf_dir):
+    """As q10 over tokens of every script; SQL's edit distance counts bytes, so a test compares it with brute force."""
+    return classify.fuzzy_matches(_vocab(spark, sf_dir), _english(spark, sf_dir, N_LEMMAS), _english(spark, sf_dir, N_COMMON))
+
+
 @query(f"""WITH c AS (SELECT label, count(*) AS n FROM {_LABELLED} GROUP BY label), e AS (SELECT unnest(['{"', '".join(L.LABELS)}']) AS label)
 SELECT e.label, coalesce(n, 0)::BIGINT AS n, round(100 * coalesce(n, 0) / sum(n) OVER (), 4) AS percent FROM e LEFT JOIN c ON e.label = c.label""")
 def q11_label_histogram(spark, sf_dir):
@@ -228,9 +235,9 @@ def q21_merge_pool(spark, sf_dir):
     return canon.merge_pool(_vocab(spark, sf_dir, "benchmark"), override, _vocab(spark, sf_dir))
 
 
-@query(f"WITH a AS {_freq_sql('documents')}, d AS {_freq_sql('conversations')} SELECT token, freq FROM a WHERE token NOT IN (SELECT token FROM d WHERE length(token) % 3 <> 0)")
+@query(f"WITH a AS {_freq_sql('documents')}, d AS {_freq_sql('conversations')} SELECT token, freq FROM a WHERE token NOT IN (SELECT token FROM d WHERE NOT regexp_matches(token, '[0-9]'))")
 def q22_pending_tokens(spark, sf_dir):
-    reason = F.when(F.length("token") % 3 == 0, "llm_call_failed_default:timeout").otherwise("clear")
+    reason = F.when(F.col("token").rlike("[0-9]"), "llm_call_failed_default:timeout").otherwise("clear")
     return adjudicate.pending(_vocab(spark, sf_dir), _vocab(spark, sf_dir, "conversations").withColumn("reason", reason))
 
 
@@ -467,6 +474,132 @@ def q42_streaming_vocabulary(spark, sf_dir):
     return vocab_stream.run_once(vocab_stream.vocabulary_counts(vocab_stream.stream_documents(spark, f"{path}/in", files=4)), f"{path}/out")
 
 
+@query(" UNION ALL ".join(f"SELECT {p}::INT AS percent, (count(*) FILTER (round(running / total * 100, 3) < {p}) + 1)::BIGINT AS n_tokens FROM {_COVER(_UNSURE)}" for p in (70, 80, 90)))
+def q14c_percent_ranks(spark, sf_dir):
+    covered = vocab.coverage(_labelled(spark, sf_dir).filter("label = 'UNCERTAIN_NEEDS_LLM'").select("token", "freq"))
+    ranks = vocab.ranks_at_percent(covered, [70, 80, 90])
+    return ranks.select(F.inline(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"n_{p}").alias("n_tokens")) for p in (70, 80, 90)])))
+
+
+@query(f"""WITH q AS (SELECT item_id AS qid, list_distinct({T.tokens_sql("text")}) AS qt FROM benchmark), d AS (SELECT doc_id, list_distinct({T.tokens_sql("text")}) AS dt FROM documents),
+s AS (SELECT r.*, round(len(list_intersect(qt, dt)) / len(list_distinct(list_concat(qt, dt))), 6) AS score2 FROM {_BM25} r JOIN q USING (qid) JOIN d USING (doc_id))
+SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score2 DESC, rank) AS rank, score, score2 FROM s""")
+def q43_rerank(spark, sf_dir):
+    asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
+    run = retrieve.bm25(asked, docs)
+    distinct = lambda c: F.array_distinct(T.tokens(F.col(c)))
+    pairs = run.select("qid", "doc_id").join(asked.select("qid", distinct("query").alias("q")), "qid").join(docs.select("doc_id", distinct("text").alias("d")), "doc_id")
+    shared = F.round(F.size(F.array_intersect("q", "d")) / F.size(F.array_union("q", "d")), 6)
+    return retrieve.rerank(run, pairs.select("qid", "doc_id", shared.alias("score2")))
+
+
+@query(f"SELECT DISTINCT replace(lower(token), '_', '') AS lemma FROM {_freq_sql('documents')} WHERE regexp_matches(replace(lower(token), '_', ''), '^\\p{{L}}+$')")
+def q44_lemmas(spark, sf_dir):
+    return _vocab(spark, sf_dir).select(T.lemma(F.col("token")).alias("lemma")).filter("lemma is not null").distinct()
+
+
+_REPAIRED = "text"
+for _sign, _plain in T.PLAIN.items():
+    _REPAIRED = f"replace({_REPAIRED}, {_Q(_sign)}, {_Q(_plain)})"
+
+
+@query(f"SELECT doc_id, md5(nfc_normalize({_REPAIRED})) AS digest FROM documents")
+def q45_repaired_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.repair_unicode(F.col("text"))).alias("digest"))
+
+
+def spelling_variants(token: str) -> list[str]:
+    """Offline stand-in for a transliterator: fails on digits."""
+    if any(c in "0123456789" for c in token):
+        raise ValueError("digits")
+    return [token, f"{token}a", f"{token}aa"]
+
+
+@query(f"""SELECT token, CASE WHEN regexp_matches(token, '[0-9]') THEN '' ELSE token || '|' || token || 'a|' || token || 'aa' END AS candidates,
+CASE WHEN regexp_matches(token, '[0-9]') THEN 'digits' END AS error FROM {_freq_sql("documents")}""")
+def q46_candidates(spark, sf_dir):
+    return canon.candidates(_vocab(spark, sf_dir), spelling_variants).select("token", F.array_join("candidates", "|").alias("candidates"), "error")
+
+
+def offline_adjudicator(text: str) -> str:
+    """Offline stand-in for a language model: fails on digits, answers short tokens plainly and long ones in a fenced block."""
+    token = text.split('Token: "', 1)[1].split('"\nExample', 1)[0]
+    if any(c in "0123456789" for c in token):
+        raise ValueError("digits")
+    return '{"label": "HINGLISH", "reason": "short"}' if len(token) < 4 else 'So:\n```json\n{"label": "english"}\n```'
+
+
+@query(f"""SELECT token, freq, CASE WHEN regexp_matches(token, '[0-9]') OR length(token) < 4 THEN 'HINGLISH' ELSE 'ENGLISH' END AS label,
+CASE WHEN regexp_matches(token, '[0-9]') THEN 'llm_call_failed_default:ValueError: digits' WHEN length(token) < 4 THEN 'short' ELSE '' END AS reason
+FROM {_freq_sql("documents")} WHERE token IN (SELECT token FROM {_freq_sql("benchmark")})""")
+def q47_adjudicated(spark, sf_dir):
+    docs, words = _docs(spark, sf_dir), _vocab(spark, sf_dir)
+    firsts = vocab.examples(docs, _vocab(spark, sf_dir, "benchmark")).select("token", F.explode("ids").alias("doc_id"))
+    lines = firsts.join(docs.select("doc_id", T.flat(F.col("text")).alias("s")), "doc_id")
+    shown = lines.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "s"))), lambda x: x["s"]).alias("examples"))
+    prompts = shown.select("token", adjudicate.prompt(F.col("token"), F.col("examples")).alias("prompt"))
+    answers = adjudicate.call_model(prompts, offline_adjudicator)
+    return adjudicate.decide(words.join(shown, "token").join(answers, "token"))
+
+
+@query()
+def q48_matcher_ratio(spark, sf_dir):
+    pairs = read(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
+    return pairs.withColumn("ratio", F.round(matcher_ratio(F.col("p_type"), F.col("p_brand")), 6))
+
+
+@query(f"""WITH c AS (SELECT label, count(*) AS n, sum(freq) AS mass FROM {_LABELLED} GROUP BY label), e AS (SELECT unnest(['{"', '".join(L.LABELS)}']) AS label)
+SELECT e.label, coalesce(n, 0)::BIGINT AS n, coalesce(mass, 0)::BIGINT AS mass FROM e LEFT JOIN c ON e.label = c.label""")
+def q49_split_files(spark, sf_dir):
+    path = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
+    text_tables.write_split(_labelled(spark, sf_dir), path, {name: f"label = '{name}'" for name in L.LABELS})
+    counts = [F.count("token").alias("n"), F.coalesce(F.sum("freq"), F.lit(0)).alias("mass")]
+    parts = [text_tables.read_tsv(spark, f"{path}/{name}", "token string, freq long, label string, method string").agg(*counts).select(F.lit(name).alias("label"), "n", "mass") for name in L.LABELS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("SELECT 'lite-2' AS name")
+def q50_preferred_name(spark, sf_dir):
+    names = spark.createDataFrame([("models/old-preview", 0), ("models/lite-2", 1), ("models/lite-1", 2)], "name string, pos int")
+    return adjudicate.preferred(names, ["full-3", "lite-2", "lite-1"])
+
+
+@query("SELECT '{' || string_agg('\"' || k || '\":\"' || v || '\"', ',' ORDER BY k) || '}' AS json FROM (SELECT unnest([" + ", ".join(_Q(k) for k, _ in L.CANONICAL_MAP) + "]) AS k, unnest([" + ", ".join(_Q(v) for _, v in L.CANONICAL_MAP) + "]) AS v)")
+def q51_map_as_json(spark, sf_dir):
+    return canon.as_json(spark.createDataFrame(list(L.CANONICAL_MAP), "token string, form string"))
+
+
+@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*)::BIGINT AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def q52_event_windows(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")  # watermarks need an instant
+    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    events.write.parquet(f"{path}/in")
+    stream = vocab_stream.stream_documents(spark, f"{path}/in", events.schema)
+    out = vocab_stream.run_once(vocab_stream.windowed_counts(stream, "ts", "1 hour", "1 day", "event_type"), f"{path}/out")
+    return out.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
+
+
+@query(f"SELECT doc_id, len({T.tokens_sql('text')}) < 4 AS short FROM documents")
+def q53_stream_labels(spark, sf_dir):
+    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    _docs(spark, sf_dir).select("doc_id", "text").write.parquet(f"{path}/in")
+    stream = vocab_stream.stream_documents(spark, f"{path}/in")
+    vocab_stream.append_labelled(stream, lambda batch: batch.select("doc_id", dedup.short_flag(batch, "text").alias("short")), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("doc_id", "short")
+
+
+@query(f"SELECT token FROM {_freq_sql('documents')} INTERSECT SELECT unnest([{', '.join(map(_Q, L.AMBIGUOUS_OVERRIDE))}])")
+def q54_leaked_tokens(spark, sf_dir):
+    return canon.leaked(_vocab(spark, sf_dir), spark.createDataFrame([(t,) for t in L.AMBIGUOUS_OVERRIDE], "token string"))
+
+
+@query(f"""SELECT 0 AS pos, '| label | method | n_tokens |' AS line UNION ALL SELECT 1, '|-|-|-|' UNION ALL
+SELECT 1 + row_number() OVER (ORDER BY n_tokens DESC, label, method), '| ' || label || ' | ' || method || ' | ' || n_tokens || ' |' FROM (SELECT label, method, count(*) AS n_tokens FROM {_LABELLED} GROUP BY label, method)""")
+def q55_report_lines(spark, sf_dir):
+    summary = vocab.label_mass(_labelled(spark, sf_dir)).select("label", "method", "n_tokens")
+    return text_tables.markdown(summary, [F.desc("n_tokens"), F.asc("label"), F.asc("method")])
+
+
 def flagship(spark, sf_dir):
     """Clean, count and label: the most frequent tokens of cleaned documents with their labels."""
     docs = _docs(spark, sf_dir).withColumn("text", T.clean(F.col("text")))

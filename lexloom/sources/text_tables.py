@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,14 @@ def write_split(df: DataFrame, path: str, by: dict[str, str], mode: str = "appen
         write_tsv(once.filter(condition), f"{path}/{name}", mode)
 
 
+def markdown(summary: DataFrame, order: list[Column]) -> DataFrame:
+    """pos, line: a small summary (an aggregate, never data) as a Markdown table in the given order."""
+    head = [(0, f"| {' | '.join(summary.columns)} |"), (1, "|" + "-|" * len(summary.columns))]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in summary.columns]
+    rows = summary.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("pos"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return summary.sparkSession.createDataFrame(head, "pos long, line string").unionByName(rows)
+
+
 def top_lexicon(freqs: DataFrame, n: int) -> DataFrame:
     """word: the n most frequent tokens, equal ones in order of the token."""
     return freqs.orderBy(F.desc("freq"), "token").limit(n).select(F.col("token").alias("word"))

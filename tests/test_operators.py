@@ -162,3 +162,47 @@ def test_nearest_in_blocks(spark, monkeypatch):
         want |= {(q, rank): d for rank, (_, d) in enumerate(near[:7], 1)}
     assert {(r["qid"], r["rank"]): r["doc_id"] for r in retrieve.nearest(queries, vectors, k=7).collect()} == want
     assert retrieve.nearest(queries.filter("false"), vectors).count() == 0 and retrieve.nearest(queries, vectors.filter("false")).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from lexloom.__main__ import main
+
+    (tmp_path / "v.tsv").write_text('token\trows\ngoverment\t4\nmain\t3\n"\t2\nqwxz\t1\n')
+    (tmp_path / "en.txt").write_text("government\nbaht\n")
+    main(["--vocab", str(tmp_path / "v.tsv"), "--out", str(tmp_path / "out"), "--english", str(tmp_path / "en.txt"), "--lemmas", str(tmp_path / "en.txt")])
+    back = {r["token"]: r["label"] for r in text_tables.read_tsv(spark, str(tmp_path / "out"), "token string, label string, method string").collect()}
+    assert back == {"goverment": "ENGLISH", "main": "AMBIGUOUS", '"': "NON_LINGUISTIC", "qwxz": "UNCERTAIN_NEEDS_LLM"}
+
+
+def test_normalizer_keeps_its_settings(spark):
+    rows = frame(spark, [(1, L.DEMO_QUERIES[1])], "qid int, query string")
+    strict, loose = (normalize.Normalizer(t).queries(rows).first()["normalized"] for t in (0.75, 0.65))
+    assert strict != loose and loose.split()[2] == "हो"
+
+
+def test_fuzzy_matches_against_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    draw = random.Random(12)
+    lemmas = sorted({"".join(draw.choices("abé", k=draw.randint(6, 12))) for _ in range(60)})
+    words = sorted({"".join(c for c in w if draw.random() > 0.08) + draw.choice(["", "", "a", "éb"]) for w in lemmas for _ in range(4)})
+    common = lemmas[::2]
+    got = classify.fuzzy_matches(frame(spark, [(w,) for w in words], "token string"), frame(spark, [(w,) for w in lemmas], "word string"), frame(spark, [(w,) for w in common], "word string"))
+    want = {w for w in words if len(w) >= 7 and any(w[0] == m[0] and distance(w, m) <= (1 if len(w) <= 9 else 2) for m in common)}
+    assert {r["word"] for r in got.collect()} == want and want
+
+
+def test_matcher_ratio(spark):
+    import difflib
+
+    from lexloom.functions.kernels import matcher_ratio
+
+    pairs = [("khabar", "khabr"), ("", ""), ("a", "b"), ("namaste", "namaskar")]
+    got = frame(spark, pairs, "a string, b string").select("a", "b", matcher_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(abs(r["r"] - 100 * difflib.SequenceMatcher(None, r["a"], r["b"]).ratio()) < 1e-9 for r in got)
