@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.kernels import phonetic_similarity
+from lexloom.functions.kernels import phonetic_similarity, similar_pairs
 from lexloom.functions.lexicon import CLOSE_PAIRS, VOWELS
 from lexloom.plans.components import components
+from lexloom.plans.staging import staged
+
+#: tokens of a block in comparisons of all pairs, and how many tokens a probe is verified on where one link is enough
+PROBE_BLOCK, TOKEN_BLOCK, MOST = 512, 4096, 8
 
 
 def merge_pool(pilot: DataFrame, override: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -77,28 +84,82 @@ def as_json(mapping: DataFrame) -> DataFrame:
 
 
 def skeleton(token: Column) -> Column:
-    """Consonants of a token with close pairs merged; variants of one word mostly share it."""
+    """Consonants of a token with close pairs merged; variants of one word often share it."""
     out = F.regexp_replace(token, f"[{VOWELS}]", "")
     for a, b in CLOSE_PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
+def _pairs_of_blocks(probes: DataFrame, tokens: DataFrame, threshold: float, most: int | None, each: bool) -> DataFrame:
+    """a, b, similarity of probes and tokens (both token, root) at or above threshold: every pair, or with each the first pair of a probe with each root.
+
+    Blocks of probes meet blocks of tokens, so no key can miss a pair. With most, a probe is verified on its most promising
+    tokens of a block alone.
+    """
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // size))
+        return df.groupBy(F.pmod(F.xxhash64("token"), F.lit(n)).alias("_b")).agg(F.collect_list("token").alias(f"{name}t"), F.collect_list("root").alias(f"{name}r")).drop("_b")
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            for xt, xr, yt, yr in zip(pdf.xt, pdf.xr, pdf.yt, pdf.yr):
+                i, j, s = similar_pairs(list(xt), list(yt), threshold, most)
+                out = pd.DataFrame({"a": np.asarray(xt, object)[i], "b": np.asarray(yt, object)[j], "similarity": s, "root": np.asarray(yr)[j], "own": np.asarray(xr)[i]})
+                if each:
+                    out = out[out.root != out.own].drop_duplicates(["a", "root"])
+                yield out[["a", "b", "similarity"]]
+
+    met = blocks(probes, PROBE_BLOCK, "x").crossJoin(blocks(tokens, TOKEN_BLOCK, "y"))
+    met = met.repartition(max(8, 2 * probes.sparkSession.sparkContext.defaultParallelism))
+    return met.mapInPandas(run, "a string, b string, similarity double")
+
+
 def variant_pairs(vocab: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Pairs (a < b) of tokens with equal skeleton and similarity >= threshold; each length difference costs at least a vowel."""
-    rows = vocab.select("token", skeleton(F.col("token")).alias("k"), F.length("token").alias("n")).filter("k != ''")
-    left, right = (rows.select(F.col("token").alias(c), "k", F.col("n").alias(f"n{c}")) for c in "ab")
-    longest = F.greatest("na", "nb")
-    fits = (F.col("a") < F.col("b")) & (0.2 * F.abs(F.col("na") - F.col("nb")) <= (1 - threshold) * longest + 1e-9)
-    pairs = left.join(right, "k").filter(fits)
-    return pairs.withColumn("similarity", phonetic_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    """All pairs (a < b) of tokens with similarity >= threshold."""
+    rows = vocab.select("token", F.lit(0).cast("long").alias("root"))
+    return _pairs_of_blocks(rows, rows, threshold, None, False).filter("a < b")
+
+
+def _easy_links(vocab: DataFrame, threshold: float) -> DataFrame:
+    """Some pairs of similar tokens, linear in the tokens: neighbours among those whose skeletons agree but for one consonant."""
+    k = skeleton(F.col("token"))
+    less = F.when(F.length(k) > 0, F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))).otherwise(F.array().cast("array<string>"))
+    keys = vocab.select("token", F.explode(F.array_distinct(F.concat(F.array(k), less))).alias("k"))
+    order = Window.partitionBy("k").orderBy(F.length("token"), "token")
+    pairs = keys.select(F.col("token").alias("x"), F.lag("token").over(order).alias("y")).filter("y is not null")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.filter(phonetic_similarity(F.col("a"), F.col("b")) >= threshold)
+
+
+def variant_links(vocab: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Edges (u, v: hashes of tokens) with the connected components of all similar pairs, without listing those pairs.
+
+    Easy links leave one large component. A link between two components has an end outside the largest, so only tokens
+    outside it are compared with all tokens; most of them first find a link to it in a part of it.
+    """
+    node = F.xxhash64("token")
+    edges = [staged(components(_easy_links(vocab, threshold).select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))).select(F.col("node").alias("u"), F.col("root").alias("v")), "easy-links")]
+    tokens = staged(vocab.select("token", node.alias("u")).join(edges[0], "u", "left").select("token", F.coalesce("v", "u").alias("root")), "easy-roots")
+    top = tokens.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+    if top is None:
+        return edges[0]
+    large, rest = tokens.filter(F.col("root") == top["root"]), tokens.filter(F.col("root") != top["root"])
+    hashed = lambda df: df.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
+    for part in (1, 16):
+        share = F.pmod(F.xxhash64("token", F.lit(part)), F.lit(max(1, top["count"] // (part * TOKEN_BLOCK)))) == 0
+        found = staged(_pairs_of_blocks(rest, large.filter(share), threshold, MOST, True), "links")
+        edges.append(hashed(found))
+        rest = staged(rest.join(found.select(F.col("a").alias("token")).distinct(), "token", "left_anti"), "rest")
+    edges.append(hashed(_pairs_of_blocks(rest, tokens, threshold, None, True)))
+    return reduce(DataFrame.unionByName, edges).filter("u != v")
 
 
 def clusters(vocab: DataFrame, threshold: float = 0.75) -> DataFrame:
     """cluster_id, canonical_roman (most frequent member, then first), members, freq; singletons are left out."""
     ids = vocab.select("token", F.xxhash64("token").alias("id"))
-    pairs = variant_pairs(vocab, threshold)
-    roots = components(pairs.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")))
+    roots = components(variant_links(vocab, threshold))
     named = roots.join(ids, F.col("node") == F.col("id")).join(vocab, "token")
     best = F.min_by("token", F.struct(-F.col("freq"), F.col("token")))
     out = named.groupBy("root").agg(best.alias("canonical_roman"), F.array_sort(F.collect_list("token")).alias("members"), F.sum("freq").alias("freq"))

@@ -282,7 +282,7 @@ def q26_canonical_map(spark, sf_dir):
 
 @query()
 def q27_variant_clusters(spark, sf_dir):
-    return canon.clusters(staged(_vocab(spark, sf_dir).filter(F.col("token").rlike(ASCII)), "variants"))
+    return canon.clusters(staged(_vocab(spark, sf_dir), "variants"))
 
 
 @query()

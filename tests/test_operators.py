@@ -206,3 +206,38 @@ def test_matcher_ratio(spark):
     pairs = [("khabar", "khabr"), ("", ""), ("a", "b"), ("namaste", "namaskar")]
     got = frame(spark, pairs, "a string, b string").select("a", "b", matcher_ratio(F.col("a"), F.col("b")).alias("r")).collect()
     assert all(abs(r["r"] - 100 * difflib.SequenceMatcher(None, r["a"], r["b"]).ratio()) < 1e-9 for r in got)
+
+
+def test_variants_against_all_pairs(spark, monkeypatch):
+    from lexloom.functions.kernels import pair_distances
+
+    monkeypatch.setattr(canon, "PROBE_BLOCK", 16)
+    monkeypatch.setattr(canon, "TOKEN_BLOCK", 24)
+    draw = random.Random(4)
+    words = {"".join(draw.choices("aeioutnkvwzjé1", k=draw.randint(1, 14))) for _ in range(150)}
+    words |= {"".join(c for c in w if draw.random() > 0.1) + draw.choice(["", "a", "t"]) for w in words for _ in range(2)} - {""}
+    words = sorted(words | {"hal", "haall", "acha", "achha", "a", "aa", "achha!", "नमस्ते", "नमस्तै", "a" * 40, "qqqqqqq"})
+    near = {}
+    for i, a in enumerate(words):
+        rest = words[i + 1 :]
+        for b, d in zip(rest, pair_distances([a] * len(rest), rest) if rest else []):
+            if (s := 1 - d / max(len(a), len(b))) >= 0.75:
+                near[a, b] = round(s, 9)
+    vocab_ = frame(spark, [(w, i + 1) for i, w in enumerate(words)], "token string, freq long")
+    assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in canon.variant_pairs(vocab_).collect()} == near
+    assert ("haall", "hal") in near and ("acha", "achha") in near and ("a", "aa") in near
+    root = {w: w for w in words}
+
+    def find(w):
+        while root[w] != w:
+            w = root[w]
+        return w
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {}
+    for w in words:
+        want.setdefault(find(w), []).append(w)
+    assert {tuple(r["members"]) for r in canon.clusters(vocab_).collect()} == {tuple(m) for m in want.values() if len(m) > 1}
+    assert canon.clusters(vocab_.filter("false")).count() == 0
