@@ -23,22 +23,26 @@ def route(tokens: DataFrame, english: DataFrame) -> DataFrame:
     return _flagged(tokens, english, "_en").withColumn("category", category).drop("_en")
 
 
-def fuzzy_matches(tokens: DataFrame, lemmas: DataFrame, common: DataFrame | None) -> DataFrame:
+def fuzzy_matches(tokens: DataFrame, lemmas: DataFrame, common: DataFrame | None, exact: bool = False) -> DataFrame:
     """Distinct tokens of MIN_FUZZY letters or more within 1 edit (2 above 9 letters) of a common lemma that shares the first letter.
 
     The length band is unrolled into an equi-join key, so only lemmas of a fitting length are compared. Without a list of
-    common words every lemma counts.
+    common words every lemma counts. With exact, tokens that equal a lemma match whether or not it is common.
     """
     word = F.lower("token")
     length = F.length(word)
     wanted = tokens.select(word.alias("w")).distinct().filter(F.length("w") >= MIN_FUZZY)
     wanted = wanted.select("w", fuzzy_limit(F.length("w")).alias("k"), F.explode(F.sequence(F.length("w") - fuzzy_limit(F.length("w")), F.length("w") + fuzzy_limit(F.length("w")))).alias("n"), F.substring("w", 1, 1).alias("c"))
-    pool = lemmas.select(F.col("word").alias("l")).distinct()
+    every = lemmas.select(F.col("word").alias("l")).distinct()
+    pool = every
     if common is not None:
         pool = pool.join(common.select(F.col("word").alias("l")), "l", "left_semi")
     pool = pool.select("l", F.length("l").alias("n"), F.substring("l", 1, 1).alias("c"))
     near = F.levenshtein("w", "l", 2)
-    return wanted.join(pool, ["n", "c"]).filter((near >= 0) & (near <= F.col("k"))).select(F.col("w").alias("word")).distinct()
+    found = wanted.join(pool, ["n", "c"]).filter((near >= 0) & (near <= F.col("k"))).select("w")
+    if exact and common is not None:
+        found = found.union(wanted.select("w").join(every, F.col("w") == F.col("l"), "left_semi"))
+    return found.select(F.col("w").alias("word")).distinct()
 
 
 def classify(tokens: DataFrame, english: DataFrame, lemmas: DataFrame | None = None, common: DataFrame | None = None) -> DataFrame:
@@ -47,7 +51,7 @@ def classify(tokens: DataFrame, english: DataFrame, lemmas: DataFrame | None = N
     out = _flagged(tokens, english, "_en").withColumn("_odd", non_linguistic(F.col("token")))
     taken = F.col("_odd") | word.isin(*AMBIGUOUS_OVERRIDE, *HINGLISH_OVERRIDE) | F.col("_en")
     if lemmas is not None:
-        out = _flagged(out, fuzzy_matches(out.filter(~taken), lemmas, common), "_near")
+        out = _flagged(out, fuzzy_matches(out.filter(~taken), lemmas, common, exact=True), "_near")
     else:
         out = out.withColumn("_near", F.lit(False))
     near = F.col("_near") & ~taken

@@ -241,3 +241,11 @@ def test_variants_against_all_pairs(spark, monkeypatch):
         want.setdefault(find(w), []).append(w)
     assert {tuple(r["members"]) for r in canon.clusters(vocab_).collect()} == {tuple(m) for m in want.values() if len(m) > 1}
     assert canon.clusters(vocab_.filter("false")).count() == 0
+
+
+def test_exact_hit_on_a_lemma_that_is_not_common(spark):
+    lemmas, common = (frame(spark, [(w,) for w in words.split()], "word string") for words in ("kitchen garbage", "kitchen"))
+    tokens = frame(spark, [(t,) for t in ["garbage", "Garbage", "garbaje", "kitchem", "kitchen", "zzzzzzz"]], "token string")
+    assert {r["word"] for r in classify.fuzzy_matches(tokens, lemmas, common, exact=True).collect()} == {"garbage", "kitchem", "kitchen"}
+    got = {r["token"]: r["method"] for r in classify.classify(tokens, lemmas.filter("false"), lemmas, common).collect()}
+    assert got["garbage"] == got["kitchem"] == "wordnet_fuzzy_edit1" and got["garbaje"] == "unresolved"
