@@ -57,6 +57,12 @@ def _labelled(spark, sf_dir):
     return classify.classify(_vocab(spark, sf_dir), _english(spark, sf_dir))
 
 
+def _cascade(spark, sf_dir, words=None):
+    """Labels by all rules. _labelled stops before the fuzzy rule, as the SQL of its queries does."""
+    lexicons = [_english(spark, sf_dir, n) for n in (N_ENGLISH, N_LEMMAS, N_COMMON)]
+    return classify.classify(_vocab(spark, sf_dir) if words is None else words, *lexicons)
+
+
 def _freq_sql(source: str, where: str = "text IS NOT NULL") -> str:
     return f"(SELECT token, count(*)::BIGINT AS freq FROM (SELECT unnest(list_distinct({T.tokens_sql('text')})) AS token FROM {source} WHERE {where}) GROUP BY token)"
 
@@ -476,7 +482,10 @@ def q42_streaming_vocabulary(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT {p}::INT AS percent, (count(*) FILTER (round(running / total * 100, 3) < {p}) + 1)::BIGINT AS n_tokens FROM {_COVER(_UNSURE)}" for p in (70, 80, 90)))
 def q14c_percent_ranks(spark, sf_dir):
-    covered = vocab.coverage(_labelled(spark, sf_dir).filter("label = 'UNCERTAIN_NEEDS_LLM'").select("token", "freq"))
+    return _percent_ranks(vocab.coverage(_labelled(spark, sf_dir).filter("label = 'UNCERTAIN_NEEDS_LLM'").select("token", "freq")))
+
+
+def _percent_ranks(covered):
     ranks = vocab.ranks_at_percent(covered, [70, 80, 90])
     return ranks.select(F.inline(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"n_{p}").alias("n_tokens")) for p in (70, 80, 90)])))
 
@@ -551,8 +560,12 @@ def q48_matcher_ratio(spark, sf_dir):
 @query(f"""WITH c AS (SELECT label, count(*) AS n, sum(freq) AS mass FROM {_LABELLED} GROUP BY label), e AS (SELECT unnest(['{"', '".join(L.LABELS)}']) AS label)
 SELECT e.label, coalesce(n, 0)::BIGINT AS n, coalesce(mass, 0)::BIGINT AS mass FROM e LEFT JOIN c ON e.label = c.label""")
 def q49_split_files(spark, sf_dir):
+    return _split_files(spark, _labelled(spark, sf_dir))
+
+
+def _split_files(spark, labelled):
     path = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
-    text_tables.write_split(_labelled(spark, sf_dir), path, {name: f"label = '{name}'" for name in L.LABELS})
+    text_tables.write_split(labelled, path, {name: f"label = '{name}'" for name in L.LABELS})
     counts = [F.count("token").alias("n"), F.coalesce(F.sum("freq"), F.lit(0)).alias("mass")]
     parts = [text_tables.read_tsv(spark, f"{path}/{name}", "token string, freq long, label string, method string").agg(*counts).select(F.lit(name).alias("label"), "n", "mass") for name in L.LABELS]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -596,12 +609,56 @@ def q54_leaked_tokens(spark, sf_dir):
 @query(f"""SELECT 0 AS pos, '| label | method | n_tokens |' AS line UNION ALL SELECT 1, '|-|-|-|' UNION ALL
 SELECT 1 + row_number() OVER (ORDER BY n_tokens DESC, label, method), '| ' || label || ' | ' || method || ' | ' || n_tokens || ' |' FROM (SELECT label, method, count(*) AS n_tokens FROM {_LABELLED} GROUP BY label, method)""")
 def q55_report_lines(spark, sf_dir):
-    summary = vocab.label_mass(_labelled(spark, sf_dir)).select("label", "method", "n_tokens")
+    return _report_lines(_labelled(spark, sf_dir))
+
+
+def _report_lines(labelled):
+    summary = vocab.label_mass(labelled).select("label", "method", "n_tokens")
     return text_tables.markdown(summary, [F.desc("n_tokens"), F.asc("label"), F.asc("method")])
 
 
+def _uncertain(spark, sf_dir):
+    return vocab.coverage(_cascade(spark, sf_dir).filter("label = 'UNCERTAIN_NEEDS_LLM'").select("token", "freq"))
+
+
+@query()
+def q56_whole_cascade(spark, sf_dir):
+    """As q09 with the fuzzy rule; a test compares it with brute force. q57 to q62 are q11, q12, q14c, q15, q49 and q55 over it."""
+    return _cascade(spark, sf_dir)
+
+
+@query()
+def q57_whole_histogram(spark, sf_dir):
+    return vocab.histogram(_cascade(spark, sf_dir), "label", L.LABELS)
+
+
+@query()
+def q58_whole_label_mass(spark, sf_dir):
+    return vocab.label_mass(_cascade(spark, sf_dir))
+
+
+@query()
+def q59_whole_percent_ranks(spark, sf_dir):
+    return _percent_ranks(_uncertain(spark, sf_dir))
+
+
+@query()
+def q60_whole_pilot_pool(spark, sf_dir):
+    return vocab.pilot_pool(_uncertain(spark, sf_dir))
+
+
+@query()
+def q61_whole_split_files(spark, sf_dir):
+    return _split_files(spark, _cascade(spark, sf_dir))
+
+
+@query()
+def q62_whole_report_lines(spark, sf_dir):
+    return _report_lines(_cascade(spark, sf_dir))
+
+
 def flagship(spark, sf_dir):
     """Clean, count and label: the most frequent tokens of cleaned documents with their labels."""
     docs = _docs(spark, sf_dir).withColumn("text", T.clean(F.col("text")))
     words = vocab.document_frequency(docs)
-    return vocab.top(classify.classify(words, _english(spark, sf_dir)), 100)
+    return vocab.top(_cascade(spark, sf_dir, words), 100)

@@ -249,3 +249,43 @@ def test_exact_hit_on_a_lemma_that_is_not_common(spark):
     assert {r["word"] for r in classify.fuzzy_matches(tokens, lemmas, common, exact=True).collect()} == {"garbage", "kitchem", "kitchen"}
     got = {r["token"]: r["method"] for r in classify.classify(tokens, lemmas.filter("false"), lemmas, common).collect()}
     assert got["garbage"] == got["kitchem"] == "wordnet_fuzzy_edit1" and got["garbaje"] == "unresolved"
+
+
+def test_whole_cascade_against_brute_force(spark):
+    from lexloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    english, lemmas, common = ({r["word"] for r in queries._english(spark, sf, n).collect()} for n in (queries.N_ENGLISH, queries.N_LEMMAS, queries.N_COMMON))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    by_shape = {}
+    for m in lemmas & common:
+        by_shape.setdefault((m[0], len(m)), []).append(m)
+    rules = {r["token"]: (r["label"], r["method"]) for r in queries.q09_rules_cascade(spark, sf).collect()}
+    got = {r["token"]: (r["label"], r["method"]) for r in queries.q56_whole_cascade(spark, sf).collect()}
+    want = dict(rules)
+    for t, (label, _) in rules.items():
+        if label == "UNCERTAIN_NEEDS_LLM" and len(t) >= 7:
+            k = 1 if len(t) <= 9 else 2
+            if t in lemmas or any(distance(t, m) <= k for n in range(len(t) - k, len(t) + k + 1) for m in by_shape.get((t[0], n), ())):
+                want[t] = ("ENGLISH", f"wordnet_fuzzy_edit{k}")
+    assert got == want and got != rules
+    pool = [r["token"] for r in queries.q60_whole_pilot_pool(spark, sf).collect()]
+    assert pool and all(want[t][0] == "UNCERTAIN_NEEDS_LLM" for t in pool)
+    histogram = {r["label"]: r["n"] for r in queries.q57_whole_histogram(spark, sf).collect()}
+    assert histogram["ENGLISH"] == sum(label == "ENGLISH" for label, _ in want.values())
+
+
+def test_flagship_runs_the_fuzzy_rule(spark, monkeypatch):
+    from lexloom.plans import queries
+
+    monkeypatch.setattr(queries, "N_ENGLISH", 1)
+    monkeypatch.setattr(queries.vocab, "top", lambda labelled, n: labelled)
+    assert queries.flagship(spark, "/root/testdata/sf0.001").filter("method like 'wordnet_fuzzy_edit%'").count()
