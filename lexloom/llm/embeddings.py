@@ -10,15 +10,17 @@ pair list is ever built: work items return link counts and a spanning forest.
 Only equal vectors collapse before the join (with their multiplicity); every index parameter is fitted on at most SAMPLE
 vectors while all vectors are joined, without loss.
 
-Defined edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of another length
-than the commonest one, link with nothing; a null vec_id never names a component; an empty table gives an empty result.
+Defined edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
+each length are joined among themselves; a null vec_id never names a component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import staged
@@ -140,8 +142,15 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     vector = F.col(embedding).cast("array<double>")
     fine = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(vec_id).alias("vec_id"), vector.alias("x"), fine.alias("fine"), F.size(vector).alias("dim"))
-    dims = rows.filter("fine").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = dims[0]["dim"] if dims else 0
+    dims = [r["dim"] for r in rows.filter("fine").groupBy("dim").count().orderBy(F.desc("count"), "dim").collect()] or [0]
+    kind = df.schema[vec_id].dataType.simpleString()
+    own = F.col("fine") & F.col("dim").isin(*dims[1:]) if len(dims) > 1 else F.lit(False)
+    parts = [rows.filter(~F.coalesce(own, F.lit(False)))] + [rows.filter(F.col("fine") & (F.col("dim") == d)) for d in dims[1:]]
+    return reduce(DataFrame.unionByName, [_of_one_length(spark, part, kind, d, cosine) for part, d in zip(parts, dims)])
+
+
+def _of_one_length(spark: SparkSession, rows: DataFrame, kind: str, dim: int, cosine: float) -> DataFrame:
+    """near_duplicates of rows (vec_id, x, fine, dim) whose fine vectors all have length dim."""
 
     def packed(batches):
         import pyarrow as pa
@@ -151,7 +160,6 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
             raw = [None if v is None else np.array(v, "<f8").tobytes() for v in got.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    kind = df.schema[vec_id].dataType.simpleString()
     picked = rows.select("vec_id", F.when(F.col("fine") & (F.col("dim") == dim), F.col("x")).alias("x"))
     all_rows = staged(picked.mapInArrow(packed, f"vec_id {kind}, raw binary").withColumn("key", F.md5("raw")), "emb-rows")
     nodes = all_rows.filter("raw is not null").groupBy("key").agg(F.first("raw").alias("raw"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("mult"))

@@ -152,3 +152,9 @@ def test_resharding(messy, empty, tmp_path):
     if moved:
         back = {r["doc_id"]: r["shard"] for r in messy.sparkSession.read.parquet(str(tmp_path / "out")).collect()}
         assert moved.items() <= back.items()
+
+
+def test_embeddings_of_every_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.0]), (6, [2.0, 4.0, 6.1]), (7, [5.0]), (8, [3.0]), (9, None), (10, [0.0, 0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False), 6: (2, 4, False), 7: (1, 7, True), 8: (1, 7, False), 9: (0, 9, True), 10: (0, 10, True)}
