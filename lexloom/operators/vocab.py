@@ -29,9 +29,8 @@ def top(vocab: DataFrame, n: int) -> DataFrame:
 
 def coverage(vocab: DataFrame) -> DataFrame:
     """Add rank, running and cum_pct (rounded to 3 places) in frequency order."""
-    total = vocab.agg(F.sum("freq").alias("_total"))
-    out = running_total(vocab, by_frequency(), "freq").crossJoin(F.broadcast(total))  # one row
-    return out.withColumn("cum_pct", F.round(F.col("running") / F.col("_total") * 100, 3)).withColumnRenamed("_total", "total")
+    out = running_total(vocab, by_frequency(), "freq", total="total")
+    return out.withColumn("cum_pct", F.round(F.col("running") / F.col("total") * 100, 3))
 
 
 def rank_at_share(covered: DataFrame, shares: list[float]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Edges and labels stay distributed: a round is two partial aggregations and two joins, written to the shared folder, and only
-an edge count and checksum reach the driver to see whether a round changed anything.
+Edges and labels stay distributed: a round is two aggregations, combined before their shuffle, and two joins, written to the
+shared folder; only an edge count and checksum reach the driver to see whether a round changed anything. The centre of a
+star may hold most edges: joins on it broadcast the centres that are hot by their degree.
 """
 
 from __future__ import annotations
@@ -9,24 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.plans.joins import join_counted
 from lexloom.plans.staging import staged, unstage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every greater neighbour of a node moves to the node's least neighbour (or itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    least = staged(least.filter("n > 0"), "stars")
+    return join_counted(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A node and its lesser neighbours move to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = staged(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
+    moved = join_counted(down, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v (comparable ids, u != v). Returns node, root (the least node reachable) for every node of an edge."""
+    """edges: u, v (comparable ids, u != v, not null). Returns node, root (the least node reachable) for every node of an edge."""
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
@@ -34,7 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
         if got == mark or got[0] == 0:
             break
         mark = got
-        after = staged(_small_star(_large_star(now)), "edges")
-        unstage(now)
+        large, centres = _large_star(now)
+        large = staged(large, "edges")
+        small, leaves = _small_star(large)
+        after = staged(small, "edges")
+        unstage(now, large, centres, leaves)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -289,3 +289,42 @@ def test_flagship_runs_the_fuzzy_rule(spark, monkeypatch):
     monkeypatch.setattr(queries, "N_ENGLISH", 1)
     monkeypatch.setattr(queries.vocab, "top", lambda labelled, n: labelled)
     assert queries.flagship(spark, "/root/testdata/sf0.001").filter("method like 'wordnet_fuzzy_edit%'").count()
+
+
+def test_keep_first_on_shared_and_missing_ids(spark):
+    rows = [(3, "same text"), (9, "alpha"), (9, "same text"), (None, "only null id"), (None, "twice"), (None, "twice"), (4, None), (5, " ")]
+    kept = dedup.keep_first(frame(spark, rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, "same text"), (9, "alpha"), (None, "only null id"), (None, "twice"), (4, None)]))
+
+
+def test_components_of_a_star_with_hot_centres(spark, monkeypatch):
+    from lexloom.plans import joins
+
+    for part in (1, 50):
+        monkeypatch.setattr(joins, "HOT_PART", part)
+        edges = [(f"n{i:03}", "a") for i in range(80)] + [(f"m{i:03}", f"m{i + 1:03}") for i in range(20)]
+        got = {r["node"]: r["root"] for r in components(frame(spark, edges, "u string, v string")).collect()}
+        assert got == {n: "a" if n[0] != "m" else "m000" for e in edges for n in e}
+
+
+def test_staged_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
+    from lexloom.plans import staging
+
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"file://{tmp_path}")
+    with staging.scope():
+        assert staging.staged(spark.range(3), "t").count() == 3 and list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lexloom.plans import staging
+
+    conf = lambda value: SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host", applicationId="x", getConf=lambda: {"spark.checkpoint.dir": value} if value else {}))
+    with pytest.raises(ValueError):
+        staging.shared_dir(conf(None))
+    monkeypatch.setattr(staging, "_folders", {})
+    assert staging.shared_dir(conf("hdfs:///shared/")) == "hdfs:///shared/lexloom-x"
