@@ -7,11 +7,13 @@ on a bounded sample gives cells; a vector visits a cell only if the cell's box l
 into tiles, so a work item holds two tiles at most. A pair is counted only in the block where its distance is least, so no
 pair list is ever built: work items return link counts and a spanning forest.
 
-Only equal vectors collapse before the join (with their multiplicity); every index parameter is fitted on at most SAMPLE
-vectors while all vectors are joined, without loss.
+Only equal vectors collapse before the join (with their multiplicity), into nodes named by the digest of the vector; every
+index parameter is fitted on at most SAMPLE vectors while all vectors are joined, without loss.
 
 Defined edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-each length are joined among themselves; a null vec_id never names a component; an empty table gives an empty result.
+each length are joined among themselves; vec_ids may be of any type that sorts, be missing or be shared by different vectors,
+which link by their vectors alone; a null vec_id never names a component; repeated rows link with each other; of ties in a
+block's distance the first block owns the pair; other columns never enter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import staged
@@ -40,7 +42,9 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+    """Unit vectors in double precision of raw ones, whose size tells single precision (kept as such in shuffles) from double."""
+    width = len(raw[0]) // dim if raw else 8
+    x = np.frombuffer(b"".join(raw), f"<f{width}").astype(float).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -124,53 +128,59 @@ def item_links(a: np.ndarray, b: np.ndarray, same: bool, block: int, cosine: flo
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def _forest(gid: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For every row the least gid it reaches by the given links."""
-    label = gid.copy()
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places the least place it reaches by the given links."""
+    label = np.arange(n)
     while True:
         before = label.copy()
         low = np.minimum(label[i], label[j])
         np.minimum.at(label, i, low)
         np.minimum.at(label, j, low)
+        label = label[label]
         if (label == before).all():
             return label
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    spark = df.sparkSession
     vector = F.col(embedding).cast("array<double>")
     fine = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
-    rows = df.select(F.col(vec_id).alias("vec_id"), vector.alias("x"), fine.alias("fine"), F.size(vector).alias("dim"))
-    dims = [r["dim"] for r in rows.filter("fine").groupBy("dim").count().orderBy(F.desc("count"), "dim").collect()] or [0]
-    kind = df.schema[vec_id].dataType.simpleString()
-    own = F.col("fine") & F.col("dim").isin(*dims[1:]) if len(dims) > 1 else F.lit(False)
-    parts = [rows.filter(~F.coalesce(own, F.lit(False)))] + [rows.filter(F.col("fine") & (F.col("dim") == d)) for d in dims[1:]]
-    return reduce(DataFrame.unionByName, [_of_one_length(spark, part, kind, d, cosine) for part, d in zip(parts, dims)])
+    rows = df.select(F.col(vec_id).alias("vec_id"), F.when(fine, F.col(embedding)).alias("x"), F.when(fine, F.size(vector)).alias("dim"))
+    single = df.schema[embedding].dataType.elementType.simpleString() == "float"
+    rows = staged(_packed(rows, "<f4" if single else "<f8").withColumn("key", F.md5("raw")), "emb-rows")
+    dims = [r["dim"] for r in rows.filter("dim is not null").select("dim").distinct().collect()]  # lengths, not vectors
+    known = [_of_one_length(rows.filter(F.col("dim") == d), d, cosine) for d in sorted(dims)]
+    if known:
+        out = rows.select("vec_id", "key").join(reduce(DataFrame.unionByName, known), "key", "left")
+    else:
+        out = rows.select("vec_id", "key", F.lit(0).alias("links"), F.col("vec_id").alias("component_id"))
+    comp = F.when(F.col("component_id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))
 
 
-def _of_one_length(spark: SparkSession, rows: DataFrame, kind: str, dim: int, cosine: float) -> DataFrame:
-    """near_duplicates of rows (vec_id, x, fine, dim) whose fine vectors all have length dim."""
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """The vectors as bytes of their own precision."""
 
-    def packed(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = batch.column(1)
-            raw = [None if v is None else np.array(v, "<f8").tobytes() for v in got.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
-
-    picked = rows.select("vec_id", F.when(F.col("fine") & (F.col("dim") == dim), F.col("x")).alias("x"))
-    all_rows = staged(picked.mapInArrow(packed, f"vec_id {kind}, raw binary").withColumn("key", F.md5("raw")), "emb-rows")
-    nodes = all_rows.filter("raw is not null").groupBy("key").agg(F.first("raw").alias("raw"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("mult"))
-    nodes = staged(nodes.select("raw", "key", "first", "mult", F.coalesce(F.col("first").cast("long"), F.xxhash64("key")).alias("gid")), "emb-nodes")
+            raw = [None if v is None else np.array(v, kind).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), batch.column(2)], names=["vec_id", "raw", "dim"])
+
+    return rows.mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, raw binary, dim int")
+
+
+def _of_one_length(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """key, links, component_id of every distinct vector of rows (vec_id, raw, key), all of length dim."""
+    nodes = staged(rows.groupBy("key").agg(F.first("raw").alias("raw"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("mult")), "emb-nodes")
     n = nodes.count()
     parts = block_slices(dim)
     leaves = 1
     while leaves * TILE < n and leaves < MAX_LEAVES:
         leaves *= 2
-    sample = [bytes(r["raw"]) for r in nodes.select("raw").orderBy(F.xxhash64("key")).limit(SAMPLE if leaves > 1 else 1).collect()]
-    turned = unit(sample, dim) @ rotation(dim) if sample else np.zeros((0, max(dim, 1)))
+    sample = [bytes(r["raw"]) for r in nodes.select("raw").orderBy("key").limit(SAMPLE if leaves > 1 else 1).collect()]
+    turned = unit(sample, dim) @ rotation(dim)
     trees = [Boxes(turned[:, p], leaves) for p in parts]
     tile_of = lambda key, tiles: int(key[:8], 16) % tiles
 
@@ -201,29 +211,27 @@ def _of_one_length(spark: SparkSession, rows: DataFrame, kind: str, dim: int, co
                     near[np.arange(len(y)), leaf] = True
                     row, unit_at = np.nonzero(np.repeat(near, tiles[b], axis=1))
                     mine = own[row]
-                    out = part[["raw", "gid", "mult"]].iloc[row]
+                    out = part[["raw", "key", "mult"]].iloc[row]
                     yield out.assign(block=np.int32(b), u=np.minimum(mine, unit_at), v=np.maximum(mine, unit_at), own=mine)
 
     def item(key, pdf):
         block, u, v = key
+        pdf = pdf.sort_values("key")
         x = unit(list(pdf.raw), dim)
-        gid, mult, own = pdf.gid.to_numpy(), pdf.mult.to_numpy(), pdf.own.to_numpy()
+        names, mult, own = pdf.key.to_numpy(), pdf.mult.to_numpy(), pdf.own.to_numpy()
         a, b = np.flatnonzero(own == u), np.flatnonzero(own == v)
         i, j = item_links(x[a], x[b], u == v, int(block), cosine)
         i, j = a[i], b[j]
-        count = np.bincount(i, mult[j], len(gid)) + np.bincount(j, mult[i], len(gid))
-        root = _forest(gid, i, j)
+        count = np.bincount(i, mult[j], len(names)) + np.bincount(j, mult[i], len(names))
+        root = names[_forest(len(names), i, j)]
         has = count > 0
-        return pd.DataFrame({"gid": gid[has], "links": count[has].astype(np.int64), "root": root[has]})
-
-    visited = nodes.select("raw", "key", "gid", "mult").mapInPandas(visits, "raw binary, gid long, mult long, block int, u long, v long, own long")
-    found = staged(visited.groupBy("block", "u", "v").applyInPandas(item, "gid long, links long, root long"), "emb-links") if n else spark.createDataFrame([], "gid long, links long, root long")
-    roots = components(found.filter("gid != root").select(F.col("gid").alias("u"), F.col("root").alias("v")))
-    linked = found.groupBy("gid").agg(F.sum("links").alias("links"))
-    known = nodes.select("key", "gid", "first", "mult").join(linked, "gid", "left").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
-    known = known.withColumn("root", F.coalesce("root", "gid"))
+        return pd.DataFrame({"key": names[has], "links": count[has].astype(np.int64), "root": root[has]})
+
+    visited = nodes.select("raw", "key", "mult").mapInPandas(visits, "raw binary, key string, mult long, block int, u long, v long, own long")
+    found = staged(visited.groupBy("block", "u", "v").applyInPandas(item, "key string, links long, root string"), "emb-links")
+    roots = components(found.filter("key != root").select(F.col("key").alias("u"), F.col("root").alias("v")))
+    linked = found.groupBy("key").agg(F.sum("links").alias("links"))
+    known = nodes.select("key", "first", "mult").join(linked, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    known = known.withColumn("root", F.coalesce("root", "key"))
     names = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = known.join(names, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id")
-    out = all_rows.select("vec_id", "key").join(known, "key", "left")
-    comp = F.when(F.col("component_id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id").eqNullSafe(comp)).alias("kept"))
+    return known.join(names, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id")

@@ -158,3 +158,33 @@ def test_embeddings_of_every_length(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.0]), (6, [2.0, 4.0, 6.1]), (7, [5.0]), (8, [3.0]), (9, None), (10, [0.0, 0.0, 0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False), 6: (2, 4, False), 7: (1, 7, True), 8: (1, 7, False), 9: (0, 9, True), 10: (0, 10, True)}
+
+
+def test_embeddings_of_shared_and_textual_ids(spark):
+    rows = [(3, [1.0, 0.0]), (3, [0.0, 1.0]), (5, [1.0, 0.1]), (5, [1.0, 0.1]), (None, [0.0, 2.0]), (2, [-1.0, 0.0]), (1, None), (4, [0.5, 0.5, 0.5])]
+    got = sorted(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=repr)
+    want = [(3, 2, 3, True), (3, 1, 3, True), (5, 2, 3, False), (5, 2, 3, False), (None, 1, 3, False), (2, 0, 2, True), (1, 0, 1, True), (4, 0, 4, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    named = [(str(i) if i else None, v) for i, v in rows]
+    got = embeddings.near_duplicates(spark.createDataFrame(named, "vec_id string, embedding array<float>")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(a and str(a), n, str(c), k) for a, n, c, k in want], key=repr)
+
+
+def test_embeddings_against_brute_force_on_shared_ids_and_mixed_lengths(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim in (3, 17, 40):
+        base = rng.standard_normal((12, dim))
+        for v in np.concatenate([base, base[:8] + rng.standard_normal((8, dim)) * 0.2, base[:4] * 2, base[:3]]):
+            rows.append((int(rng.integers(0, 30)), [float(c) for c in v]))
+    x = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [[a != b and len(x[a]) == len(x[b]) and float(x[a] @ x[b]) >= 0.9 for b in range(len(x))] for a in range(len(x))]
+    label = list(range(len(x)))
+    for _ in label:
+        label = [min([label[a], *(label[b] for b in range(len(x)) if near[a][b])]) for a in range(len(x))]
+    want = sorted((rows[a][0], sum(near[a]), min(rows[b][0] for b in range(len(x)) if label[b] == label[a])) for a in range(len(x)))
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want and any(n for _, n, _ in want)
