@@ -51,7 +51,6 @@ def test_mixing(messy, empty):
     assert len(got) == len(ROWS)
     assert {r["size"] for r in got if r["doc_id"] == 2} == {0}
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    assert len({(r["taken"], r["shards"]) for r in got if r["doc_id"] == 1}) == 1
     out = mixing.mixed_documents(messy)
     assert out.columns == messy.columns
     words = sum(len((r["text"] or "").split()) for r in out.select("text").collect())
@@ -145,13 +144,13 @@ def test_resharding(messy, empty, tmp_path):
         slots = sorted(r["slot"] for r in got if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     assert resharding.reshard_report(empty).count() == 0
-    unique = messy.filter("doc_id > 1").select("doc_id", "text")
-    plan = resharding.reshard(unique)
-    resharding.rewrite(unique, plan, str(tmp_path / "out"))
-    moved = {r["doc_id"]: r["shard"] for r in plan.filter("moved").collect()}
-    if moved:
-        back = {r["doc_id"]: r["shard"] for r in messy.sparkSession.read.parquet(str(tmp_path / "out")).collect()}
-        assert moved.items() <= back.items()
+    files = resharding.rewrite(messy.drop("shard"), str(tmp_path / "out"))
+    plan = resharding.planned(messy)
+    hit = plan.join(files, ["old_shard", "block"], "left_semi")
+    back = messy.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted(messy.columns) and set(back.drop("shard").columns) == set(messy.drop("shard").columns)
+    written = {(r["doc_id"], r["shard"]): r["count"] for r in back.groupBy("doc_id", "shard").count().collect()}
+    assert written == {(r["doc_id"], r["shard"]): r["n"] for r in hit.groupBy("doc_id", "shard").agg(F.sum("n").alias("n")).collect()}
 
 
 def test_embeddings_of_every_length(spark):
@@ -188,3 +187,18 @@ def test_embeddings_against_brute_force_on_shared_ids_and_mixed_lengths(spark, m
     want = sorted((rows[a][0], sum(near[a]), min(rows[b][0] for b in range(len(x)) if label[b] == label[a])) for a in range(len(x)))
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want and any(n for _, n, _ in want)
+
+
+@pytest.mark.parametrize("same_text", [True, False])
+def test_mixing_of_one_shared_id(spark, same_text):
+    rows = [(7, " ".join(["w"] * (3 if same_text else 1 + i % 9)) + ("" if same_text else f" {i}"), "a") for i in range(1000)]
+    rows += [(i, f"{i} x y z", "b") for i in range(500)] + [(None, "p q", "c")] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(df)
+    per = {r["target"]: r["t"] for r in got.groupBy("target").agg(F.sum("taken").alias("t")).collect()}
+    assert len(per) == 3 and all(abs(taken - target) <= 6 for target, taken in per.items())
+    assert got.filter("taken > 2 * size").count() == 0
+    key = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert key(mixing.mix_report(df.repartition(5))) == key(got)
+    words = mixing.mixed_documents(df).select(F.sum(F.size(F.split("text", " "))).alias("w")).first()["w"]
+    assert words == sum(per.values())

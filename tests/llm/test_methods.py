@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy on the small tables."""
 
+import hashlib
 import random
 import zlib
 
@@ -186,6 +187,73 @@ def test_flow_moves_the_fewest_bytes():
         assert stay == sum(min(supply[i], demand[i]) for i in range(min(a, b)))
 
 
+def brute_reshard(rows, n_old=6, n_new=8):
+    """(doc_id, size, crc, old shard, shard, slot) of rows (doc_id, text), one by one in plain Python."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    placed = []
+    total = sum(len((t or "").encode()) + 1 for _, t in rows)
+    n_blocks = max(resharding.MIN_BLOCKS, -(-len(rows) // resharding.ROWS_PER_BLOCK))
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        name = "null" if doc_id is None else str(doc_id)
+        size, crc = len(raw) + 1, zlib.crc32(raw)
+        h = md5(f"row:{name}:{size}:{crc}")
+        placed.append((int(md5(f"old:{name}")[:15], 16) % n_old, 0 if size * n_new * resharding.HEAVY_PART > total else 1 + int(h[:12], 16) % n_blocks, h, doc_id, size, crc))
+    placed.sort(key=lambda r: r[:3])
+    supply = [sum(r[4] for r in placed if r[0] == i) for i in range(n_old)]
+    room = resharding.capacities(sum(supply), n_new)
+    give = {i: [(i, min(supply[i], room[i]))] for i in range(n_old)}  # what stays; the surplus then fills the gaps in order
+    gap = [room[j] - (min(supply[j], room[j]) if j < n_old else 0) for j in range(n_new)]
+    for i in range(n_old):
+        left = supply[i] - give[i][0][1]
+        for j in range(n_new):
+            if moved := min(left, gap[j]):
+                give[i].append((j, moved))
+                left, gap[j] = left - moved, gap[j] - moved
+    cuts = []  # old shard, position, the new shards before and after, the row it parts
+    for i in range(n_old):
+        end = 0
+        runs = [r for r in give[i] if r[1]]
+        for (j, amount), (k, _) in zip(runs, runs[1:]):
+            end += amount
+            at = 0
+            for row in placed:
+                if row[0] == i:
+                    if at <= end < at + row[4]:
+                        cuts.append([i, end, j, k, at, at + row[4] if at < end else at])
+                    at += row[4]
+    off = [0] * n_new
+    for cut in sorted(cuts, key=lambda c: (c[4] - c[5],)):
+        i, end, j, k, low, high = cut
+        best = min((low, high), key=lambda e: (off[j] + e - end) ** 2 + (off[k] - e + end) ** 2)
+        off[j], off[k], cut[1] = off[j] + best - end, off[k] - best + end, best
+    out, slots, at = [], [0] * n_new, [0] * n_old
+    for old, _, _, doc_id, size, crc in placed:
+        mine = [c for c in cuts if c[0] == old]
+        at[old] += size
+        j = next((c[2] for c in mine if at[old] <= c[1]), mine[-1][3] if mine else next(j for j, n in give[old] if n))
+        out.append((doc_id, size, crc, old, j, slots[j]))
+        slots[j] += 1
+    return out
+
+
+def test_reshard_against_brute_force(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(resharding, "CHUNK", 7)
+    monkeypatch.setattr(resharding, "ROWS_PER_BLOCK", 2)
+    draw = random.Random(5)
+    rows = [(draw.choice([None, *range(60)]), draw.choice([None, "", "a" * draw.randint(1, 50), "ü"])) for _ in range(400)] + [(77, "same row")] * 150
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, n int")
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["old_shard"], r["shard"], r["slot"]) for r in resharding.reshard(df).collect()]
+    assert sorted(got, key=repr) == sorted(brute_reshard(rows), key=repr)
+    files = {(r["old_shard"], r["block"]): (r["rows_moved"], r["bytes_moved"]) for r in resharding.rewrite(df, str(tmp_path / "out")).collect()}
+    plan = resharding.reshard(df).collect()
+    assert sum(n for n, _ in files.values()) == sum(r["moved"] for r in plan)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = [(r["doc_id"], r["size"], r["shard"]) for r in plan if (r["old_shard"], r["block"]) in files]
+    assert sorted(((r["doc_id"], len((r["text"] or "").encode()) + 1, r["shard"]) for r in back), key=repr) == sorted(want, key=repr)
+    assert len({r["n"] for r in back}) == len(back) and all((r["doc_id"], r["text"]) == rows[r["n"]] for r in back)
+
+
 def test_reshard_sizes(spark):
     got = QUERIES["op10_resharding"](spark, "/root/testdata/sf0.01")
     rows = got.groupBy("shard").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
