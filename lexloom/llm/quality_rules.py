@@ -1,11 +1,16 @@
 """Line-first quality rules (operator 1), built-in functions only.
 
-Every line is judged on its own by three rules, failing lines are removed, and a document that loses too large a share
-of its words is rejected. Document-level base counts are reported beside the verdict.
+Every line is judged on its own by punctuation, navigation, symbol and boilerplate rules, failing lines are removed, and a
+document that loses too large a share of its words is rejected. Document-level base counts are reported beside the verdict.
+
+Punctuation: a line passes if it ends in a sentence mark of any script (closing quotes and brackets aside; three dots or an
+ellipsis only break a line off), or if it is long and has a sentence end inside. Navigation: separators, or capitalised menu
+words that make up a good part of a short line. Boilerplate: short lines with a phrase of the list below, as whole words.
 
 Defined edge cases: a null text has no lines and no words (all counts 0, base_failed, not kept); an empty text likewise.
-Equal rows give equal rows; other columns of the input pass through `clean_documents` untouched and never clash: they
-travel in one struct beside the working columns. An empty table gives an empty result.
+Texts of any length are one row and are read whole; equal lines and equal rows are judged alike. Other columns of the input
+pass through `clean_documents` untouched and never clash: they travel in one struct beside the working columns. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,26 +22,42 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import WS, packed, unpacked, words_of
 
-# Phrases that mark a line as page furniture, compared in lower case.
+# Phrases that mark a short line as page furniture, in lower case (en, de, fr, es, hi).
 BOILERPLATE = (
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "sign in",
-    "subscribe now",
-    "terms of service",
-    "terms of use",
-)
+    "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "follow us on",
+    "lorem ipsum", "privacy policy", "sign in", "sign up", "skip to content", "subscribe now", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "jetzt abonnieren",
+    "cliquez ici", "conditions d.utilisation", "politique de confidentialité", "tous droits réservés",
+    "haga clic aquí", "política de privacidad", "términos de uso", "todos los derechos reservados",
+    "गोपनीयता नीति", "यहाँ क्लिक करें", "सर्वाधिकार सुरक्षित",
+)
+
+# Words of menus, as they are written there (en, de, fr, es, hi).
+MENU = (
+    "Home", "About", "Contact", "Login", "Logout", "Register", "Search", "Menu", "Jobs", "Careers", "News", "Blog", "FAQ", "Help",
+    "Sitemap", "Privacy", "Imprint", "Cart", "Checkout", "Account", "Share", "Print", "Next", "Previous",
+    "Startseite", "Impressum", "Kontakt", "Anmelden", "Datenschutz", "Suche", "Hilfe", "Warenkorb",
+    "Accueil", "Connexion", "Recherche", "Panier", "Aide",
+    "Inicio", "Contacto", "Buscar", "Carrito", "Ayuda",
+    "होम", "संपर्क", "खोजें",
+)
+
+# Sentence marks: Latin, Greek, Armenian, Arabic, Urdu, Devanagari, Myanmar, Khmer, Ethiopic, Mongolian, Chinese and Japanese.
+MARKS = r".!?\x{37E}\x{589}\x{61F}\x{6D4}\x{964}\x{965}\x{104A}\x{104B}\x{17D4}\x{17D5}\x{1362}\x{1367}\x{1803}\x{203C}\x{203D}\x{3002}\x{FF01}\x{FF0E}\x{FF1F}\x{FF61}"
+# What may close a sentence after its mark.
+CLOSERS = r"\x{22}'\)\]\}\x{BB}\x{2019}\x{201D}\x{203A}\x{300D}\x{300F}\x{FF09}"
 
 
 @dataclass(frozen=True)
 class Rules:
     """Thresholds of the line rules and of the verdict."""
 
-    sentence_mark: str = r"[.!?\x{2026}]"
+    #: the end of a line that ends in a sentence, and a broken-off end
+    sentence_end: str = rf"[{MARKS}][{CLOSERS}{WS}]*$"
+    broken_end: str = rf"(\.\.|\x{{2026}})[{CLOSERS}{WS}]*$"
+    #: a sentence end inside a line, and the words from which on it is enough
+    inner_end: str = rf"[{MARKS}][{CLOSERS}]*[{WS}]|[\x{{3002}}\x{{FF01}}\x{{FF1F}}\x{{964}}]"
+    long_line: int = 15
     symbols: str = r"[#*$%&|<>]"
     #: a line with more symbols than this per 100 words fails
     symbols_per_100: int = 50
@@ -45,20 +66,29 @@ class Rules:
     #: a line with so many `|`, `>` or bullet separators is navigation
     nav_marks: int = 3
     nav: str = r"[|\x{00BB}\x{203A}\x{2022}]|>>"
+    #: so is a short line with so many menu words, at least this share (in 100) of its words
+    menu_words: int = 3
+    menu_per_100: int = 30
+    menu: str = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(MENU)})(?:$|[^\p{{L}}\p{{M}}\p{{N}}])"
+    boilerplate: str = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(BOILERPLATE)})(?:$|[^\p{{L}}\p{{M}}\p{{N}}])"
+    #: menu words and boilerplate phrases count in lines of at most so many words
+    short_line: int = 40
     #: a document that loses more than this share of its words (in 100) is rejected
     lost_per_100: int = 50
     min_words: int = 50
 
 
-def _line_fails(line: Column, r: Rules) -> Column:
-    n = F.regexp_count(line, F.lit(f"[^{WS}]+"))
-    boiler = F.lower(line).rlike("|".join(BOILERPLATE))
+def _line_fails(line: Column, n: Column, r: Rules) -> Column:
+    """Whether a line of n words fails."""
+    ended = (line.rlike(r.sentence_end) & ~line.rlike(r.broken_end)) | ((n >= r.long_line) & line.rlike(r.inner_end))
+    menu = F.regexp_count(line, F.lit(r.menu))
+    furniture = ((menu >= r.menu_words) & (100 * menu >= r.menu_per_100 * n)) | F.lower(line).rlike(r.boilerplate)
     return (
-        ~line.rlike(r.sentence_mark)
+        ~ended
         | (F.regexp_count(line, F.lit(r.nav)) >= r.nav_marks)
         | (100 * F.regexp_count(line, F.lit(r.symbols)) > r.symbols_per_100 * n)
         | (100 * F.regexp_count(line, F.lit("[!?]")) > r.shouts_per_100 * n)
-        | boiler
+        | ((n <= r.short_line) & furniture)
     )
 
 
@@ -79,7 +109,8 @@ def with_measures(df: DataFrame, text: str = "text", rules: Rules = Rules(), out
             )
         ),
     )
-    lines = F.transform(F.col(f"{out}.l"), lambda x: F.struct(x.alias("t"), _line_fails(x, rules).alias("f"), F.regexp_count(x, F.lit(f"[^{WS}]+")).alias("n")))
+    counted = F.transform(F.col(f"{out}.l"), lambda x: F.struct(x.alias("t"), F.regexp_count(x, F.lit(f"[^{WS}]+")).alias("n")))
+    lines = F.transform(counted, lambda x: F.struct(x["t"].alias("t"), _line_fails(x["t"], x["n"], rules).alias("f"), x["n"].alias("n")))
     df = df.withColumn(
         out,
         F.struct(
@@ -87,16 +118,19 @@ def with_measures(df: DataFrame, text: str = "text", rules: Rules = Rules(), out
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             (F.size(f"{out}.l") - F.size(F.array_distinct(f"{out}.l"))).cast("long").alias("n_dup_lines"),
+            w.alias("w"),
             windows.alias("s"),
             lines.alias("l"),
         ),
     )
-    s = F.col(f"{out}.s")
+    s, w = F.col(f"{out}.s"), F.col(f"{out}.w")
+    # Neighbours by hash are compared word by word.
+    same = lambda a, b: (a["h"] == b["h"]) & (F.get(w, a["p"]) == F.get(w, b["p"])) & (F.get(w, a["p"] + 1) == F.get(w, b["p"] + 1)) & (F.get(w, a["p"] + 2) == F.get(w, b["p"] + 2))
     pairs = F.zip_with(
         s,
         F.slice(s, 2, F.greatest(F.size(s), F.lit(1))),
         lambda a, b: F.when(
-            a["h"] == b["h"],
+            same(a, b),
             F.array(a["p"], a["p"] + 1, a["p"] + 2, b["p"], b["p"] + 1, b["p"] + 2),
         ),
     )
@@ -145,11 +179,13 @@ def clean_documents(df: DataFrame, rules: Rules = Rules(), n_chars: str | None =
 def sql(rules: Rules = Rules()) -> str:
     """DuckDB SQL of quality_report over `documents`."""
     word = f"'[^{WS}]+'"
-    fails = f"""(NOT regexp_matches(l, '{rules.sentence_mark}')
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    fails = f"""(NOT (regexp_matches(l, {quoted(rules.sentence_end)}) AND NOT regexp_matches(l, {quoted(rules.broken_end)}) OR c >= {rules.long_line} AND regexp_matches(l, {quoted(rules.inner_end)}))
         OR len(regexp_extract_all(l, '{rules.nav}')) >= {rules.nav_marks}
-        OR 100 * len(regexp_extract_all(l, '{rules.symbols}')) > {rules.symbols_per_100} * len(regexp_extract_all(l, {word}))
-        OR 100 * len(regexp_extract_all(l, '[!?]')) > {rules.shouts_per_100} * len(regexp_extract_all(l, {word}))
-        OR regexp_matches(lower(l), '{"|".join(BOILERPLATE)}'))"""
+        OR 100 * len(regexp_extract_all(l, '{rules.symbols}')) > {rules.symbols_per_100} * c
+        OR 100 * len(regexp_extract_all(l, '[!?]')) > {rules.shouts_per_100} * c
+        OR c <= {rules.short_line} AND (len(regexp_extract_all(l, {quoted(rules.menu)})) >= {rules.menu_words} AND 100 * len(regexp_extract_all(l, {quoted(rules.menu)})) >= {rules.menu_per_100} * c
+          OR regexp_matches(lower(l), {quoted(rules.boilerplate)})))"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
@@ -158,8 +194,8 @@ r AS (SELECT doc_id, p FROM g WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTIT
 rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
 lw AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dups, count(*) FILTER (NOT f) AS n_kept,
-       coalesce(sum(len(regexp_extract_all(l, {word}))) FILTER (f), 0) AS lost
-       FROM (SELECT doc_id, l, {fails} AS f FROM l WHERE regexp_matches(l, '[^{WS}]')) GROUP BY doc_id),
+       coalesce(sum(c) FILTER (f), 0) AS lost
+       FROM (SELECT doc_id, l, c, {fails} AS f FROM (SELECT doc_id, l, len(regexp_extract_all(l, {word})) AS c FROM l WHERE regexp_matches(l, '[^{WS}]'))) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
       len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
       coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
