@@ -7,16 +7,25 @@ moves only when that block holds a differing bit. So of 5 groups of block pivots
 in a cell keyed by the coordinates of 3 groups (10 choices). Inside a cell pairs are discarded by the largest coordinate
 difference over all pivots, survivors are verified by exact distance, and only a spanning forest of the links is emitted.
 
-A cell with more than CELL_ROWS fingerprints takes an exact way without pairs: its fingerprints meet at all values within one
-bit of them, since two values within 2 bits share such a midpoint and any two that share one are within 2 bits.
-
-Defined edge cases: a null or wordless text has fingerprint 0 and links like any other; equal fingerprints are one node, so
-copies are never paired; a null doc_id never names a component; an empty table gives an empty result.
+A cell with more than CELL_ROWS fingerprints is cut by the coordinates of further pivots, one after the other: linked
+fingerprints differ by at most 2 there, so a fingerprint goes to the band of its coordinate and, near the upper edge, to the
+next one. What no pivot can part (fingerprints packed within a few bits of each other) takes an exact way without pairs: they
+meet at all values within one bit of them, since two values within 2 bits share such a midpoint and any two that share one are
+within 2 bits.
+
+The functions here start jobs when they are called; tables that are staged on the way are deleted as soon as they are used up,
+the others as `plans.staging` says. Joins on a fingerprint or a component broadcast the hot ones.
+
+Defined edge cases: a null or wordless text has fingerprint 0 and links like any other; texts of any length are read whole, in
+bounded pieces; equal fingerprints are one node, so copies are never paired; a null doc_id never names a component; ties go to
+the least doc_id, then text hash; repeated rows are rows of one group; other columns pass through `deduplicated` in one
+struct and never clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,18 +33,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import packed, staged, unpacked
+from lexloom.llm.common import packed, staged, unpacked, unstage
 from lexloom.plans.components import components
+from lexloom.plans.joins import join_counted
 
 SEED = 42
 MAX_BITS = 2
 BLOCK_BITS = 2
 GROUPS = 5
 CELL_ROWS = 512
+#: pivots that cut crowded cells, and the width of their bands
+EXTRA, BAND = 16, 4
 BATCH = 512
 
 
-def pivot_table(extra: int = 8) -> list[int]:
+def pivot_table(extra: int = EXTRA) -> list[int]:
     """Base, one pivot for each flipped block, and unrelated pivots, as signed 64-bit integers from a fixed generator."""
     draw = np.random.default_rng(20240229).integers(0, 2**64, extra + 1, dtype=np.uint64)
     base = draw[0]
@@ -134,40 +146,64 @@ def _near_links(cells: DataFrame) -> DataFrame:
     return cells.select("fps").mapInArrow(run, "u bigint, v bigint")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (fp, cell) of cells with two or more, and n, the size of their cell; staged."""
+    counts = staged(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-counts")
+    out = staged(join_counted(rows, counts, "cell", "n"), "simhash-cells")
+    unstage(counts)
+    return out
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """nodes: distinct fp. Returns edges u, v that connect exactly what links within MAX_BITS connect."""
+    """nodes: distinct fp. Returns edges u, v that connect exactly what links within MAX_BITS connect; staged.
+
+    A cell is a hash of its key: cells that share a hash only hold more to verify.
+    """
     group, choices = _cell_keys(F.col("fp"))
     coded = nodes.select("fp", *[g.alias(f"g{i}") for i, g in enumerate(group)])
-    keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), *[F.col(f"g{g}").cast("int").alias(f"c{j}") for j, g in enumerate(c)]) for k, c in enumerate(choices)])
-    rows = coded.select("fp", F.explode(keys).alias("key")).select("fp", "key.*")
-    on = ["k", *[f"c{j}" for j in range(GROUPS - MAX_BITS)]]
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = staged(rows.join(counts, on), "simhash-cells")
-    small = met.filter(F.col("n") <= CELL_ROWS).groupBy(*on).agg(F.collect_list("fp").alias("fps"))
-    crowded = met.filter(F.col("n") > CELL_ROWS).select("fp").distinct()
+    cells = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"g{g}") for g in c]) for k, c in enumerate(choices)])
+    met = _met(coded.select("fp", F.explode(cells).alias("cell")))
+    tables, fine = [met], [met.filter(F.col("n") <= CELL_ROWS)]
+    for level, pivot in enumerate(pivot_table()[-EXTRA:]):
+        crowded = met.filter(F.col("n") > CELL_ROWS)
+        if not crowded.limit(1).count():
+            break
+        far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot)))
+        bands = F.array_distinct(F.array(F.floor(far / BAND), F.floor((far + MAX_BITS) / BAND)))
+        cut = crowded.select("fp", "cell", F.explode(bands).alias("band"))
+        met = _met(cut.select("fp", F.xxhash64("cell", F.lit(level), "band").alias("cell")))
+        tables.append(met)
+        fine.append(met.filter(F.col("n") <= CELL_ROWS))
+    small = reduce(DataFrame.unionByName, fine).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+    packed_ = met.filter(F.col("n") > CELL_ROWS).select("fp").distinct()
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(b)) for b in np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)).view(np.int64).tolist()])
-    spread = crowded.select("fp", F.explode(near).alias("mid"))
+    spread = packed_.select("fp", F.explode(near).alias("mid"))
     least = spread.groupBy("mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     far = spread.join(least, "mid").filter("fp != v").select(F.col("fp").alias("u"), "v")
-    return _near_links(small).union(far.distinct())
+    out = staged(_near_links(small).union(far.distinct()), "simhash-links")
+    unstage(*tables)
+    return out
 
 
 def _grouped(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, h, fp of every row; groups: fp, root, n_equal, first (struct of the group's first row: blank, doc_id, h)."""
+    """docs: doc_id, h, fp of every row; groups: fp, root, n_equal, first (struct of the group's first row: blank, doc_id, h). Both staged."""
     docs = staged(fingerprints(df), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "h"))
     nodes = staged(docs.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n_equal")), "simhash-nodes")
-    roots = components(links(nodes.select("fp")))
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    named = labelled.groupBy("root").agg(F.min("first").alias("first"))
-    return docs, labelled.select("fp", "root", "n_equal").join(named, "root")
+    found = links(nodes.select("fp"))
+    roots = components(found)
+    labelled = staged(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n_equal", F.coalesce("root", "fp").alias("root")), "simhash-labels")
+    named = staged(labelled.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-names")
+    groups = staged(join_counted(labelled.select("fp", "root", "n_equal"), named, "root", "n").drop("n"), "simhash-groups")
+    unstage(nodes, found, labelled, named)
+    return docs, groups
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), n_equal (documents with this fingerprint)."""
     docs, groups = _grouped(df)
     labelled = groups.select("fp", F.col("first.doc_id").alias("component_id"), "n_equal")
-    return docs.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
+    return join_counted(docs, labelled, "fp", "n_equal").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
