@@ -10,6 +10,8 @@ pair list is ever built: work items return link counts and a spanning forest.
 Only equal vectors collapse before the join (with their multiplicity), into nodes named by the digest of the vector; every
 index parameter is fitted on at most SAMPLE vectors while all vectors are joined, without loss.
 
+The functions here start jobs when they are called; the tables that they stage are deleted as `plans.staging` says.
+
 Defined edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
 each length are joined among themselves; vec_ids may be of any type that sorts, be missing or be shared by different vectors,
 which link by their vectors alone; a null vec_id never names a component; repeated rows link with each other; of ties in a
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import staged
 from lexloom.plans.components import components
+from lexloom.plans.joins import join_counted
 
 COSINE = 0.9
 BLOCK_DIMS = 16
@@ -150,10 +153,10 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     rows = staged(_packed(rows, "<f4" if single else "<f8").withColumn("key", F.md5("raw")), "emb-rows")
     dims = [r["dim"] for r in rows.filter("dim is not null").select("dim").distinct().collect()]  # lengths, not vectors
     known = [_of_one_length(rows.filter(F.col("dim") == d), d, cosine) for d in sorted(dims)]
+    out = rows.filter("key is null").select("vec_id", F.lit(0).alias("links"), F.col("vec_id").alias("component_id"))
     if known:
-        out = rows.select("vec_id", "key").join(reduce(DataFrame.unionByName, known), "key", "left")
-    else:
-        out = rows.select("vec_id", "key", F.lit(0).alias("links"), F.col("vec_id").alias("component_id"))
+        every = staged(reduce(DataFrame.unionByName, known), "emb-known")
+        out = out.unionByName(join_counted(rows.filter("key is not null").select("vec_id", "key"), every, "key", "mult").select("vec_id", "links", "component_id"))
     comp = F.when(F.col("component_id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))
 
@@ -232,6 +235,6 @@ def _of_one_length(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
     roots = components(found.filter("key != root").select(F.col("key").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = nodes.select("key", "first", "mult").join(linked, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    known = known.withColumn("root", F.coalesce("root", "key"))
-    names = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return known.join(names, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id")
+    known = staged(known.withColumn("root", F.coalesce("root", "key")), "emb-roots")
+    names = staged(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "emb-names")
+    return join_counted(known, names, "root", "n").select("key", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id")
