@@ -3,10 +3,13 @@
 In the given model no piece holds a white-space marker after another character, so a segmentation never crosses the start
 of a marked word. A text is cut into such chunks; each task keeps a table from chunk to the bytes of its ids, hands chunks
 that are not in it to the library, all of a batch in one call, and joins the ids of a text by position. The table is bounded
-by entries and starts anew when full; that costs time, never results. A model whose pieces do cross markers is refused.
+by the bytes that it holds and starts anew when full, and chunks of more than LONG_CHUNK characters (text without spaces,
+encoded data) never enter it; that costs time, never results. A model is refused if its pieces cross markers, or if
+its normalizer changes characters or white space on the probes below, so that chunks would not add up to the text.
 
 Defined edge cases: a null text counts as empty (begin and end ids only); texts of any length are encoded whole; repeated
-rows give repeated results; the input's other columns do not enter; an empty table gives an empty result.
+rows give repeated results; equal chunks share one entry; the input's other columns do not enter; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-TABLE_ENTRIES = 300_000
+#: bytes of chunks and ids that a task's table may hold (with some 150 more for each entry), and the longest chunk in it
+TABLE_BYTES, ENTRY_BYTES, LONG_CHUNK = 96 << 20, 150, 256
 CHUNKS_PER_CALL = 20_000
+# Texts that a normalizer or a dummy-prefix setting would show itself on.
+PROBES = ("", " ", "a", " a", "a ", "a  b", "  a   b  ", "▁", "a▁b", "▁ a", "ﬁ Ａ ½", "e\u0301 é", "a\u00a0b\u3000c", "a\tb\nc\r\n", "\u200b\ufeff", "日本 語", "\x00")
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -39,8 +45,8 @@ def crossing_pieces(sp) -> list[str]:
 class ChunkTable:
     """Encodes texts as bytes of little-endian unsigned 32-bit ids."""
 
-    def __init__(self, sp, entries: int = TABLE_ENTRIES):
-        self.sp, self.entries = sp, entries
+    def __init__(self, sp, limit: int = TABLE_BYTES):
+        self.sp, self.limit, self.held = sp, limit, 0
         self.table: dict[str, bytes] = {}
         self.mark = np.array([sp.piece_to_id(MARK)], "<u4").tobytes()
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
@@ -64,24 +70,43 @@ class ChunkTable:
                     joined += map(self.table.__getitem__, some)
                 except KeyError:
                     del joined[1 + at :]
-                    self._learn(some)
-                    joined += map(self.table.__getitem__, some)
+                    passing = self._learn(some)
+                    joined += [passing[c] if c in passing else self.table[c] for c in some]
             joined.append(self.end)
             out.append(b"".join(joined))
         return out
 
-    def _learn(self, some: list[str]) -> None:
-        if len(self.table) > self.entries:
+    def _learn(self, some: list[str]) -> dict[str, bytes]:
+        """Enter the new chunks; return the long ones, which do not enter."""
+        if self.held > self.limit:
             self.table.clear()
-        new = list({c for c in some if c not in self.table})
+            self.held = 0
+        new, long = list({c for c in some if c not in self.table}), {}
         for chunk, ids in zip(new, self.sp.encode(new, num_threads=1)):
-            self.table[chunk] = np.array(ids, "<u4").tobytes() if chunk else self.mark
+            raw = np.array(ids, "<u4").tobytes() if chunk else self.mark
+            if len(chunk) > LONG_CHUNK:
+                long[chunk] = raw
+            else:
+                self.table[chunk] = raw
+                self.held += len(chunk) + len(raw) + ENTRY_BYTES
+        return long
+
+
+def refused(sp) -> str | None:
+    """Why the chunk table would not be exact for a model."""
+    if bad := crossing_pieces(sp):
+        return f"pieces cross white-space markers: {bad[:5]}"
+    table = ChunkTable(sp)
+    for text, raw in zip(PROBES, table.encode(list(PROBES))):
+        if np.frombuffer(raw, "<u4").tolist() != sp.encode(text, add_bos=True, add_eos=True):
+            return f"its normalizer changes {text!r}"
+    return None
 
 
 def encode_documents(df: DataFrame, proto: bytes, with_output: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with_output adds ids (array) and decoded (text)."""
-    if bad := crossing_pieces(processor(proto)):
-        raise ValueError(f"pieces cross white-space markers: {bad[:5]}")
+    if why := refused(processor(proto)):
+        raise ValueError(why)
     id_type = df.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
