@@ -2,16 +2,20 @@
 
 A gated recurrent unit reads the bytes of a window forwards, another one backwards; every position gets a distribution over
 the learned languages from both states, and a document's probabilities are the mean over all its positions. The network is
-trained in numpy by backpropagation through time on a bounded sample. A text is read whole, in windows of WINDOW bytes that
-are independent of each other, so that thousands of windows advance together and memory is bounded.
+trained in numpy by backpropagation through time on a bounded sample. A text is read whole, in windows of CORE bytes that begin
+at characters and reach MARGIN bytes into their neighbours on either side: only a window's core is labelled, from states that
+have read what lies around it. Thousands of windows advance together and memory is bounded.
 
-Defined edge cases: null texts and texts without a letter are `und` with score 0; without any labelled row everything is
-`und`; bytes never seen in training have zero input weights; repeated rows are labelled alike; an empty table gives an empty
-result.
+Defined edge cases: null texts and texts without a letter are `und` with score 0; texts of any length are read whole; without
+any labelled row everything is `und`; bytes never seen in training have zero input weights; ties of two languages go to the one
+that sorts first; doc_ids may be of any type, and rows without one are labelled but never learned from; repeated rows are
+labelled alike, and of rows that share id and language one is learned from; other columns never enter; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-#: sample bounds: languages, documents of a language, characters of a document used for fitting
-MAX_LANGS, PER_LANG, FIT_CHARS = 64, 300, 2000
-WINDOW, HIDDEN = 64, 8
-STEPS, BATCH = 260, 256
+#: sample bounds: documents in all, documents of a language (at least LEAST of each, however many languages there are), and
+#: windows of a document, drawn by hash over its whole text
+TOTAL, PER_LANG, LEAST, FIT_WINDOWS = 20_000, 300, 8, 16
+CORE, MARGIN, HIDDEN = 128, 16, 12
+#: training steps, and more for each language; windows of a step
+STEPS, STEPS_PER_LANG, BATCH = 260, 4, 128
+#: windows that advance together in prediction
+ROWS = 2048
 
 
 def squash(x: np.ndarray, work: np.ndarray) -> np.ndarray:
@@ -56,8 +65,8 @@ class Network:
         steps, rows = bytes_.shape
         hidden = self.loops.shape[-1]
         (ez, er, en), (uz, ur, un) = self.inputs[way], self.loops[way]
-        out = np.empty((steps, rows, hidden), np.float32)
-        h = np.zeros((rows, hidden), np.float32)
+        out = np.empty((steps, rows, hidden), self.loops.dtype)
+        h = np.zeros((rows, hidden), self.loops.dtype)
         full = live.all(axis=1)
         places = bytes_.astype(np.intp)
         z, r, n, c, work = (np.empty_like(h) for _ in range(5))
@@ -86,35 +95,76 @@ class Network:
             h = new
         return out
 
-    def pooled(self, bytes_: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Sum over real positions of the language distribution: (rows, languages)."""
+    def pooled(self, bytes_: np.ndarray, live: np.ndarray, core: np.ndarray) -> np.ndarray:
+        """Sum over core positions of the language distribution: (rows, languages)."""
         f, b = self.states(bytes_, live, 0), self.states(bytes_, live, 1)
         steps, rows, hidden = f.shape
         p = f.reshape(-1, hidden) @ self.head[:hidden]
         p += b.reshape(-1, hidden) @ self.head[hidden:]
         p += self.bias
+        p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p *= (live.reshape(-1) / p.sum(axis=1, dtype=np.float32))[:, None].astype(np.float32)
+        p *= (core.reshape(-1) / p.sum(axis=1, dtype=np.float32))[:, None].astype(np.float32)
         return p.reshape(steps, rows, -1).sum(axis=0)
 
 
-def windows(raw: list[bytes | memoryview]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(WINDOW, rows) bytes, mask of real positions, and the document of each row."""
-    rows = [-(-len(x) // WINDOW) for x in raw]
-    flat = np.zeros(sum(rows) * WINDOW, np.uint8)
-    live = np.zeros(len(flat), bool)
-    at = 0
-    for x, n in zip(raw, rows):
-        flat[at : at + len(x)] = np.frombuffer(x, np.uint8)
-        live[at : at + len(x)] = True
-        at += n * WINDOW
-    turn = lambda a: np.ascontiguousarray(a.reshape(-1, WINDOW).T)
-    return turn(flat), turn(live), np.repeat(np.arange(len(raw)), rows)
+@dataclass
+class Windows:
+    """Windows of consecutive texts in one byte array: the core of window k is [cut[k], end[k]), read from lo[k] to hi[k]."""
+
+    flat: np.ndarray
+    doc: np.ndarray
+    cut: np.ndarray
+    end: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def table(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(steps, rows) bytes, mask of real positions (a prefix of every window) and mask of core positions."""
+        lo, hi = self.lo[rows], self.hi[rows]
+        at = lo[None, :] + np.arange(int((hi - lo).max(initial=0)))[:, None]
+        live = at < hi
+        core = (at >= self.cut[rows]) & (at < self.end[rows])
+        return np.where(live, self.flat[np.minimum(at, len(self.flat) - 1)], 0), live, core
+
+
+def windows(raw: list) -> Windows:
+    """Windows of UTF-8 texts (bytes or buffers)."""
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(x) for x in raw], dtype=np.int64) if raw else np.zeros(0, np.int64)
+    begins = ends - np.array([len(x) for x in raw], np.int64)
+    n = -(-(ends - begins) // CORE)
+    doc = np.repeat(np.arange(len(raw)), n)
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    k = np.arange(len(doc)) - first[doc]
+
+    def at_character(place: np.ndarray) -> np.ndarray:
+        for _ in range(3):  # a character has at most three bytes after its first
+            inside = (place > begins[doc]) & (flat[np.minimum(place, len(flat) - 1)] & 0xC0 == 0x80) & (place < ends[doc])
+            place = place - inside
+        return place
+
+    cut = at_character(begins[doc] + k * CORE)
+    end = np.where(k + 1 < n[doc], np.append(cut[1:], 0), ends[doc])
+    return Windows(flat, doc, cut, end, at_character(np.maximum(cut - MARGIN, begins[doc])), at_character(np.minimum(end + MARGIN, ends[doc])))
+
 
+def drawn(raw: bytes) -> list[bytes]:
+    """Up to FIT_WINDOWS windows of a text, with their margins, by hash of place and content."""
+    w = windows([raw])
+    out = [w.flat[a:b].tobytes() for a, b in zip(w.lo, w.hi)]
+    return [out[k] for k in sorted(sorted(range(len(out)), key=lambda k: (zlib.crc32(out[k], k), k))[:FIT_WINDOWS])]
 
-def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Network:
+
+def train(texts: list[str], langs: list[str], steps: int | None = None) -> Network:
+    return train_windows([drawn(t.encode()) for t in texts], langs, steps)
+
+
+def train_windows(docs: list[list[bytes]], langs: list[str], steps: int | None = None) -> Network:
+    """docs: the drawn windows of each document."""
     names = sorted(set(langs))
     k, hid = len(names), HIDDEN
+    steps = steps or STEPS + STEPS_PER_LANG * k
     rng = np.random.default_rng(11)
     net = Network(
         names,
@@ -123,13 +173,18 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Network:
         np.zeros((2 * hid, k), np.float32),
         np.zeros(k, np.float32),
     )
-    data, live, doc = windows([t.encode() for t in texts])
-    if not data.size:
+    raw = [x for ws in docs for x in ws]
+    if not raw:
         return net
+    size = np.array([len(x) for x in raw])
+    live = np.arange(size.max())[:, None] < size[None, :]
+    data = np.zeros(live.shape, np.uint8)
+    data.T[live.T] = np.frombuffer(b"".join(raw), np.uint8)
     seen = np.zeros(256, bool)
     seen[np.unique(data[live])] = True
     net.inputs[:, :, ~seen] = 0
-    label = np.array([names.index(x) for x in langs])[doc]
+    place = {x: i for i, x in enumerate(names)}
+    label = np.repeat([place[x] for x in langs], [len(ws) for ws in docs])
     by_lang = [np.flatnonzero(label == i) for i in range(k)]
     by_lang = [r for r in by_lang if len(r)]
     params = [net.inputs, net.loops, net.head, net.bias]
@@ -158,13 +213,13 @@ def gradients(net: Network, data: np.ndarray, live: np.ndarray, label: np.ndarra
     p /= p.sum(axis=2, keepdims=True)
     p[:, np.arange(rows), label] -= 1
     p *= (live / max(live.sum(), 1))[:, :, None]
-    p = p.astype(np.float32)
+    p = p.astype(net.loops.dtype)
     g_head = both.reshape(-1, 2 * hid).T @ p.reshape(-1, p.shape[2])
     g_both = p @ net.head.T
     g_in, g_loop = np.zeros_like(net.inputs), np.zeros_like(net.loops)
     for way in (0, 1):
         uz, ur, un = net.loops[way]
-        back = np.zeros((rows, hid), np.float32)
+        back = np.zeros((rows, hid), net.loops.dtype)
         for t, byte, h, z, r, n, c in reversed(kept[way]):
             on = live[t][:, None]
             d = back + g_both[t, :, way * hid : (way + 1) * hid]
@@ -183,24 +238,32 @@ def gradients(net: Network, data: np.ndarray, live: np.ndarray, label: np.ndarra
 
 
 def fit(docs: DataFrame, where: Column, per_lang: int = PER_LANG) -> Network | None:
-    """Fit on up to per_lang documents of each of the MAX_LANGS commonest languages."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & where)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    """Fit on drawn windows of up to per_lang documents of every language; only those windows reach the driver."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & where).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
+    per_lang = max(LEAST, min(per_lang, TOTAL // len(counts)))
+    spark = docs.sparkSession
     # A hash threshold for each language leaves a few times per_lang of its rows, so that ranking them stays small.
-    few = F.lit(False)
-    for lang, n in counts.items():
-        few = few | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, 4 * per_lang / n)))))
+    rates = spark.createDataFrame([(lang, int((1 << 40) * min(1.0, 4 * per_lang / n))) for lang, n in counts.items()], "_lang string, _rate long")
+    thin = rows.select("doc_id", "lang").join(F.broadcast(rates), F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < F.col("_rate"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter(few).select("doc_id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_lang)
-    picked = ids.select("doc_id", "lang").distinct().collect()
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "doc_id long, lang string")
-    text = F.substring("text", 1, FIT_CHARS)
-    hits = docs.select("doc_id", text.alias("text")).join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull())
-    got = hits.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    ids = thin.select("doc_id", "lang").withColumn("at", F.dense_rank().over(order)).filter(F.col("at") <= per_lang).select("doc_id", "lang").distinct().collect()
+    kind = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("lang", StringType())])
+    hits = rows.join(F.broadcast(spark.createDataFrame([tuple(r) for r in ids], kind)), ["doc_id", "lang"])
+    texts = hits.groupBy("doc_id", "lang").agg(F.min("text").cast("binary").alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([drawn(x.as_py()) for x in part.column(2)], pa.list_(pa.binary()))], names=["doc_id", "lang", "raw"])
+
+    name = docs.schema["doc_id"].dataType.simpleString()
+    got = texts.select("doc_id", "lang", "raw").mapInArrow(run, f"doc_id {name}, lang string, raw array<binary>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"]))
-    return train([r["text"] for r in got], [r["lang"] for r in got]) if got else None
+    return train_windows([[bytes(x) for x in r["raw"]] for r in got], [r["lang"] for r in got]) if got else None
 
 
 def predict(df: DataFrame, net: Network | None) -> DataFrame:
@@ -209,14 +272,15 @@ def predict(df: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 raw = [x.as_buffer() if y else b"" for x, y in zip(part.column(1), part.column(2).to_pylist())]
                 total = np.zeros((len(raw), max(k, 1)))
                 if net:
-                    data, live, doc = windows(raw)
-                    for s in range(0, data.shape[1], 2048):
-                        np.add.at(total, doc[s : s + 2048], net.pooled(data[:, s : s + 2048], live[:, s : s + 2048]))
+                    w = windows(raw)
+                    for s in range(0, len(w.doc), ROWS):
+                        some = slice(s, s + ROWS)
+                        np.add.at(total, w.doc[some], net.pooled(*w.table(some)))
                 n = total.sum(axis=1)
                 p = total / np.maximum(n, 1e-9)[:, None]
                 best = p.argmax(axis=1)

@@ -4,8 +4,10 @@ Statistics of whole texts (character classes, word and line shapes, repetition)
 sample; trees of fixed depth are grown by histogram gains on logistic loss in numpy and flattened into arrays, so that all
 documents of a batch descend all trees by array indexing.
 
-Defined edge cases: null and empty texts have all-zero statistics and are scored like any other; without labelled rows of
-both kinds every score is the sample's share of label 1 (0.5 if there is none); an empty table gives an empty result.
+Defined edge cases: null and empty texts have all-zero statistics and are scored like any other; texts of any length are
+measured whole; without labelled rows of both kinds every score is the sample's share of label 1 (0.5 if there is none); a
+null doc_id is scored but never learned from, and of an id with both labels 1 counts; equal texts score alike, and of equal
+gains the first feature and cut are taken; other columns never enter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lexloom.llm.sampling import labelled_texts
+from lexloom.llm.sampling import labelled_rows
 
 #: sample bound: documents of each label
 PER_LABEL = 4000
 BINS, TREES, DEPTH, RATE = 64, 80, 4, 0.15
+N_STATISTICS = 20
 
 
 def _classes() -> np.ndarray:
@@ -41,7 +45,7 @@ def statistics(raw: bytes) -> list[float]:
     """Document statistics of UTF-8 text."""
     n = len(raw)
     if not n:
-        return [0.0] * 20
+        return [0.0] * N_STATISTICS
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     share = (counts @ _CLASS / n).tolist()
     words = raw.split()
@@ -128,10 +132,27 @@ def train(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(np.array(out_f), np.array(out_t), np.array(out_v), base)
 
 
+def measured(raw: pa.Array) -> np.ndarray:
+    return np.array([statistics(t.as_py() or b"") for t in raw]).reshape(-1, N_STATISTICS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, where: Column, per_label: int = PER_LABEL) -> Trees:
-    texts, y = labelled_texts(docs, labels, "quality", per_label, where)
-    x = np.array([statistics(t.encode()) for t in texts]).reshape(-1, 20)
-    return train(x, np.array(y, float))
+    """Fitted on the statistics of up to per_label documents of each label; they are taken on the executors, texts never reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = pa.array(measured(part.column(2)).tolist(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), x], names=["doc_id", "label", "x"])
+
+    rows = labelled_rows(docs, labels, "quality", per_label, where)
+    if rows is None:
+        return train(np.zeros((0, N_STATISTICS)), np.zeros(0))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.select("doc_id", "label", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, label long, x array<double>").collect()
+    got.sort(key=lambda r: r["doc_id"])
+    return train(np.array([r["x"] for r in got]).reshape(-1, N_STATISTICS), np.array([r["label"] for r in got], float))
 
 
 def score(df: DataFrame, model: Trees) -> DataFrame:
@@ -141,8 +162,7 @@ def score(df: DataFrame, model: Trees) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = np.array([statistics(t.as_py() or b"") for t in part.column(1)]).reshape(-1, 20)
-                s = model.score(x)
+                s = model.score(measured(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = df.schema["doc_id"].dataType.simpleString()

@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lexloom.llm import embeddings, mixing, pieces, quality_rules, resharding, simhash, toxicity
+from lexloom.llm import embeddings, language_id, mixing, pieces, quality_model, quality_rules, resharding, simhash, toxicity
 from lexloom.llm.queries import ORACLES, QUERIES, model_bytes
 
 SF = "/root/testdata/sf0.001"
@@ -76,9 +78,23 @@ def test_targets_and_shards(spark):
     assert {(r["doc_id"], r["taken"], r["shards"]) for r in again} == {(r["doc_id"], r["taken"], r["shards"]) for r in got}
 
 
+def plain_fingerprint(text):
+    """Word for word after the definition."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash_against_brute_force(spark):
     got = QUERIES["op3_simhash_pivots"](spark, SF).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     bits = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
+    assert bits == {i: plain_fingerprint(t) for i, t in texts.items()}
+    for odd in (None, "", "one", "one Two", "Ä\u00a0Ü É\x0bx\x1cy", "a a a a a"):
+        assert simhash.fingerprint((odd or "").encode()) % 2**64 == plain_fingerprint(odd)
     ids = sorted(bits)
     edges = [(a, b) for a in ids for b in ids if a < b and (bits[a] ^ bits[b]).bit_count() <= 2]
     assert {r["doc_id"]: r["component_id"] for r in got} == least_reachable(ids, edges)
@@ -130,12 +146,21 @@ def test_held_out_accuracy(spark, name, by, held, label, least):
     assert sum(mine) / len(mine) >= least
 
 
+def test_held_out_toxic_recall_and_false_positives(spark):
+    """A third of toxic documents of low quality, and a few others, hold no toxic word at all: junk took its place."""
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op9_toxicity_chain"](spark, sf).join(truth, "doc_id").filter("held_out").collect()
+    hit = lambda label: np.mean([r["predicted"] for r in rows if r["toxic"] == label])
+    assert hit(1) >= 0.85 and hit(0) <= 0.015
+
+
 def test_chain_gradient_counts_are_marginals():
     rng = np.random.default_rng(1)
     emission, move, start = rng.standard_normal((3, 5)), rng.standard_normal((2, 2)), rng.standard_normal(2)
     real = np.arange(5)[None, :] < np.array([5, 3, 1])[:, None]
     p, pair, first = toxicity.marginals(emission, real, move, start)
-    assert np.allclose(toxicity.odds_marginals(emission, real, move, start), p)
+    assert np.allclose(toxicity.whole_marginals(emission, real, np.arange(4), move, start), p)
     want, want_pair = np.zeros((3, 5)), np.zeros((2, 2))
     for k, n in enumerate(real.sum(axis=1)):
         paths = [[(m >> t) & 1 for t in range(n)] for m in range(2**n)]
@@ -148,6 +173,23 @@ def test_chain_gradient_counts_are_marginals():
     assert np.allclose(p, want) and np.allclose(pair, want_pair) and np.isclose(first[1], want[:, 0].sum())
 
 
+def test_chains_run_through_their_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    for piece in (4, 64):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        sizes = [0, 1, piece, 3 * piece + 2, 0, 2 * piece, 150, 5]
+        flat, real, first = toxicity.laid_out(sizes)
+        emission = rng.standard_normal(sum(sizes)) * 3
+        table = np.zeros(real.shape)
+        table.reshape(-1)[flat] = emission
+        move, start = rng.standard_normal((2, 2)) * 2, rng.standard_normal(2)
+        got = np.split(toxicity.whole_marginals(table, real, first, move, start).reshape(-1)[flat], np.cumsum(sizes)[:-1])
+        for e, p in zip(np.split(emission, np.cumsum(sizes)[:-1]), got):
+            if len(e):
+                want, _, _ = toxicity.marginals(e[None, :], np.ones((1, len(e)), bool), move, start)  # one uncut chain
+                assert np.allclose(p, want[0], atol=1e-9)
+
+
 def test_toxic_spans():
     words = "calm river stone bridge garden window paper".split()
     draw = random.Random(6)
@@ -163,16 +205,32 @@ def test_toxic_spans():
     score, each = model.documents(["a Vilethug, by the river", "calm paper"], {})
     spans = toxicity.spans_of("a Vilethug, by the river", each[0])
     assert score[0] > 0.5 > score[1] and [(s["begin"], s["end"]) for s in spans] == [(2, 10)]
+    for text in ("İstanbul vilethug walks home", "İİİ ß vilethug İ", "calm " * 500 + "vilethug" + " calm" * 500):
+        _, (p,) = model.documents([text], {})
+        assert [text[s["begin"] : s["end"]] for s in toxicity.spans_of(text, p)] == ["vilethug"]
+    far = " ".join(draw.choices(words, k=900))
+    long = [f"{far} vilethug {far} vilescum {far}", far * 3]
+    assert [s > 0.5 for s in model.documents(long, {})[0]] == [True, False]
+
+
+def test_long_documents_give_bounded_training_pieces(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_PIECES", 10)
+    text = " ".join(f"w{i}" for i in range(64 * 200))
+    some = toxicity.pieces_of(text)
+    places = [int(p.split(" ")[0][1:]) // 64 for p in some]
+    assert len(some) == 10 and places == sorted(places) and max(places) > 100 and toxicity.pieces_of("A b") == ["a b"] and toxicity.pieces_of("") == []
 
 
 def test_chunk_table_is_bounded_and_exact():
     sp = pieces.processor(model_bytes())
     draw = random.Random(7)
     texts = ["".join(draw.choices(["a", "b", " ", "  ", "▁", "é", "\n", "日", "\x00", "ing"], k=draw.randint(0, 60))) for _ in range(300)]
-    table = pieces.ChunkTable(sp, entries=5)
+    texts += ["".join(draw.choices("abé日", k=n)) + draw.choice(["", " x"]) for n in (255, 256, 257, 5000) for _ in range(3)]
+    table = pieces.ChunkTable(sp, limit=2000)
     for text, raw in zip(texts, table.encode(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True)
-    assert pieces.crossing_pieces(sp) == []
+        assert table.held <= 2000 + 60 * 4 * (pieces.ENTRY_BYTES + 8) and all(len(c) <= pieces.LONG_CHUNK for c in table.table)
+    assert pieces.refused(sp) is None
 
 
 def test_flow_moves_the_fewest_bytes():
@@ -275,3 +333,73 @@ def test_pipeline_equals_its_stages(spark):
     want = sorted((r["doc_id"], len(sp.encode(r["text"], add_bos=True, add_eos=True))) for r in docs.collect())
     assert sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, SF).collect()) == want
     assert {d for d, _ in want} <= set(texts)
+
+
+def test_network_gradients_are_numerical_slopes():
+    """In double precision, over windows of unequal length."""
+    rng = np.random.default_rng(4)
+    net = language_id.Network(["a", "b", "c"], rng.standard_normal((2, 3, 256, 4)), rng.standard_normal((2, 3, 4, 4)), rng.standard_normal((8, 3)), rng.standard_normal(3))
+    live = np.arange(7)[:, None] < np.array([7, 3, 5])[None, :]
+    data, label = rng.integers(97, 101, (7, 3)).astype(np.uint8), np.array([0, 2, 1])
+
+    def loss():
+        both = np.concatenate([net.states(data, live, 0), net.states(data, live, 1)], axis=2)
+        p = both @ net.head + net.bias
+        p -= np.log(np.exp(p).sum(axis=2, keepdims=True))
+        return -(p[:, np.arange(3), label] * live).sum() / live.sum()
+
+    for param, grad in zip((net.inputs, net.loops, net.head, net.bias), language_id.gradients(net, data, live, label)):
+        flat, slope = param.reshape(-1), grad.reshape(-1)
+        places = np.flatnonzero(slope)
+        for at in rng.choice(places, min(40, len(places)), replace=False):
+            was = flat[at]
+            flat[at] = was + 1e-5
+            up = loss()
+            flat[at] = was - 1e-5
+            down = loss()
+            flat[at] = was
+            assert abs((up - down) / 2e-5 - slope[at]) < 1e-6 + 1e-4 * abs(slope[at])
+
+
+def test_windows_cover_each_byte_once_and_cut_at_characters():
+    draw = random.Random(3)
+    texts = ["", "a", "é" * 500, "日本語" * 300, "x" * 128, "x" * 129] + ["".join(draw.choices("aé日😀 ", k=draw.randint(0, 900))) for _ in range(20)]
+    raw = [t.encode() for t in texts]
+    w = language_id.windows(raw)
+    data, live, core = w.table(slice(None))
+    assert core.sum() == sum(map(len, raw)) and (core <= live).all()
+    for k, t in enumerate(raw):
+        rows = np.flatnonzero(w.doc == k)
+        assert b"".join(data[core[:, r], r].astype(np.uint8).tobytes() for r in rows) == t
+        for r in rows:
+            data[live[:, r], r].astype(np.uint8).tobytes().decode()
+
+
+def test_seventy_languages(spark):
+    draw = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{i:02}": ["".join(draw.choices(letters, k=5)) for _ in range(6)] for i in range(70)}
+    rows = [(f"d{k:05}", lang, " ".join(draw.choices(stems[lang], k=60))) for k, lang in enumerate(sorted(stems) * 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    net = language_id.fit(docs, F.col("doc_id") < "d00350")
+    assert net.langs == sorted(stems)
+    got = language_id.predict(docs, net).collect()
+    right = [r["lang_pred"] == dict((a, b) for a, b, _ in rows)[r["doc_id"]] for r in got if r["doc_id"] >= "d00350"]
+    assert len(right) == 70 and sum(right) >= 66
+
+
+def test_trees_descend_as_one_by_one():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 5))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] < -0.5)).astype(float)
+    model = quality_model.train(x, y)
+    want = []
+    for row in x:
+        z = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value):
+            at = 0
+            while at < len(f):
+                at = 2 * at + 2 if row[f[at]] > t[at] else 2 * at + 1
+            z += v[at - len(f)]
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(model.score(x), want) and ((model.score(x) >= 0.5) == y).mean() > 0.97
