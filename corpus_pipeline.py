@@ -1,6 +1,9 @@
 """Training-corpus pipeline: toxicity, quality rules, near-duplicates, source mixing, tokenization.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; what its operator states of
+nulls, empty and very long texts, ties, repeated rows and clashing columns holds for the stage: null and empty texts are not
+toxic, fail the quality rules, and so never reach the later stages; repeated rows fall together in near-dedup; other columns
+are passed on untouched; an empty table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -8,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import mixing, pieces, quality_rules, simhash, toxicity
-from lexloom.llm.common import staged, table
+from lexloom.llm.common import staged, table, unstage
 from lexloom.llm.queries import model_bytes
 from lexloom.llm.sampling import remainder
 
@@ -53,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = staged(stage(spark, before, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if name != STAGES[0][0]:
+            unstage(before)
+        before = docs
     return docs
