@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -111,16 +112,62 @@ def parse_json(text: Column) -> Column:
 PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
 
 
+#: UTF-8 that was read as Latin-1 or Windows-1252: a lead and its followers, as the characters they turned into
+_FOLLOWER = "[\x80-\xbf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]"
+_MISREAD = re.compile(f"(?:[\xc2-\xdf]{_FOLLOWER}|[\xe0-\xef]{_FOLLOWER}{{2}}|[\xf0-\xf4]{_FOLLOWER}{{3}})+")
+_TELLING = re.compile(f"[\xc2\xc3]{_FOLLOWER}|\xe2\u20ac{_FOLLOWER}|\xe0[\xa4\xa5]{_FOLLOWER}|\xf0\u0178{_FOLLOWER}{{2}}")
+
+
+def _reread(found: re.Match) -> str:
+    raw = bytearray()
+    for c in found[0]:
+        raw += c.encode("latin-1") if ord(c) < 256 else c.encode("cp1252")
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return found[0]
+
+
+def repair_misread(text: str) -> str:
+    """Undo UTF-8 read as Latin-1 or Windows-1252.
+
+    Where every character beyond ASCII takes part in such a sequence the text is reread as a whole; otherwise only sequences
+    that hardly occur in plain text are.
+    """
+    if text.isascii():
+        return text
+    if _MISREAD.sub("", text).isascii():
+        return _MISREAD.sub(_reread, text)
+    return _TELLING.sub(_reread, text)
+
+
 def repair_unicode(text: Column, fixer=None) -> Column:
-    """Unicode repair in Arrow batches: `fixer` (text to text) if given, else plain quotes and ligatures in NFC."""
-    plain = str.maketrans(PLAIN)
-    fix = fixer or (lambda s: unicodedata.normalize("NFC", s.translate(plain)))
+    """Unicode repair: misread UTF-8, plain quotes and ligatures, NFC; or `fixer` (text to text) in their place.
+
+    Only texts with a character that the built-in repair could change travel to Arrow batches: up to U+00BF there is none, and
+    quotes and ligatures are replaced in the JVM.
+    """
 
     @F.pandas_udf("string")
     def repaired(s: pd.Series) -> pd.Series:
-        return s.map(fix, na_action="ignore")
+        return s.map(fixer or (lambda t: unicodedata.normalize("NFC", repair_misread(t))), na_action="ignore")
+
+    if fixer:
+        return repaired(text)
+    out = F.coalesce(repaired(F.when(text.rlike(r"[^\x{00}-\x{BF}]"), text)), text)
+    for sign, plain in PLAIN.items():
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return out
+
+
+# What stands for a missing key in settings that were never filled in, in lower case.
+PLACEHOLDERS = ("changeme", "change_me", "none", "null", "placeholder", "test", "todo", "xxx")
+
 
-    return repaired(text)
+def key_problem(key: Column, shortest: int = 10) -> Column:
+    """Why a secret cannot be a real one (null if it can): missing, a placeholder, or too short."""
+    k = F.trim(F.coalesce(key, F.lit("")))
+    return F.when(k == "", "missing").when(F.lower(k).isin(*PLACEHOLDERS) | F.lower(k).startswith("your"), "placeholder").when(F.length(k) < shortest, "too short")
 
 
 def noise(text: Column, level: int) -> Column:

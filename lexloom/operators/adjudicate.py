@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -92,10 +93,51 @@ def back_off(kind: Column, retry_after: Column, streak: Column) -> Column:
     return F.least(F.when(kind == "rate-limit", F.greatest(base * streak, F.lit(10))).otherwise(base), F.lit(300))
 
 
-def preferred(names: DataFrame, order: list[str]) -> DataFrame:
-    """The first preferred name that exists, else the first stable one, else the first."""
+def preferred(names: DataFrame, order: list[str], family: str = "", fallback: str | None = None) -> DataFrame:
+    """One row: the first preferred name that exists, else the first stable one, else the first, else the fallback.
+
+    names: name, pos (place in the catalogue). Only names that hold `family` take part.
+    """
     spark = names.sparkSession
     ranks = spark.createDataFrame(list(enumerate(order)), "pref int, name string")
-    ranked = names.select(F.regexp_replace("name", "^models/", "").alias("name"), "pos").join(ranks, "name", "left")
+    ranked = names.filter(F.col("name").contains(family)).select(F.regexp_replace("name", "^models/", "").alias("name"), "pos").join(F.broadcast(ranks), "name", "left")
     key = F.struct(F.coalesce("pref", F.lit(len(order))), F.when(F.col("name").endswith("-preview"), 1).otherwise(0), "pos")
-    return ranked.agg(F.min_by("name", key).alias("name"))
+    return ranked.agg(F.coalesce(F.min_by("name", key), F.lit(fallback).cast("string")).alias("name"))
+
+
+def selection_prompt(token: Column, examples: Column, candidates: Column) -> Column:
+    """The prompt that asks for one of the candidates, by number, or none."""
+    listed = lambda c: F.array_join(F.transform(c, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
+    ask = 'Answer with only JSON: {"pick": <number of the candidate, 0 if none is usable>, "reason": "one line"}'
+    return F.concat_ws("\n", F.concat(F.lit("Choose the written form of the token: "), token), F.lit("Sentences:"), listed(examples), F.lit("Candidates:"), listed(candidates), F.lit(ask))
+
+
+def select_candidate(rows: DataFrame) -> DataFrame:
+    """token, pick, form, reason. rows: token, candidates (array), response, error.
+
+    The answer may name a candidate by number or by its text. Whatever is none of the candidates picks nothing: a form is
+    never invented.
+    """
+    v = parse_json(F.col("response"))
+    said = F.trim(F.coalesce(F.try_variant_get(v, "$.pick", "string"), F.lit("")))
+    number = F.when(said.rlike("^[0-9]{1,4}$"), said.cast("int"))
+    place = F.when(number.between(1, F.size("candidates")), number).when(number.isNull() & (said != ""), F.nullif(F.array_position("candidates", said).cast("int"), F.lit(0)))
+    why = F.when(F.col("response").isNull(), F.concat(F.lit("llm_call_failed:"), F.coalesce("error", F.lit("")))).when(v.isNull(), "unparseable").otherwise(F.coalesce(F.trim(F.try_variant_get(v, "$.reason", "string")), F.lit("")))
+    return rows.select("token", place.alias("pick"), F.get("candidates", place - 1).alias("form"), why.alias("reason"))
+
+
+def health(spark, model: Callable[[str], str], wanted: str = "ok") -> DataFrame:
+    """check, ok, kind, ms: a plain call and a call that must answer with JSON, timed on the driver before a large run."""
+    rows = []
+    for check, text in (("plain", "Answer with one word."), ("json", f'Respond with only this JSON: {{"status": "{wanted}"}}')):
+        began, answer, kind = time.perf_counter(), None, None
+        try:
+            answer = model(text)
+            kind = None if (answer or "").strip() else "empty"
+        except Exception as e:  # the plug-in may raise anything; the row records it
+            kind = type(e).__name__
+        rows.append((check, answer, kind, (time.perf_counter() - began) * 1000))
+    got = spark.createDataFrame(rows, "check string, answer string, kind string, ms double")
+    bad = (F.col("check") == "json") & ~F.coalesce(F.try_variant_get(parse_json(F.col("answer")), "$.status", "string") == wanted, F.lit(False))
+    kind = F.coalesce("kind", F.when(bad, "unparseable"))
+    return got.select("check", kind.isNull().alias("ok"), kind.alias("kind"), "ms")

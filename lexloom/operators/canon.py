@@ -56,6 +56,12 @@ def candidates(tokens: DataFrame, engine: Callable[[str], list[str]] | None = No
     return tokens.select("token").mapInPandas(run, "token string, candidates array<string>, error string")
 
 
+def aligned(first: DataFrame, second: DataFrame, single: DataFrame) -> DataFrame:
+    """pos, first_run, second_run, single: three candidate lists (each pos, candidates) side by side; a missing place is null."""
+    out = first.select("pos", F.col("candidates").alias("first_run")).join(second.select("pos", F.col("candidates").alias("second_run")), "pos", "full")
+    return out.join(single.select("pos", F.col("candidates").alias("single")), "pos", "full")
+
+
 def batch_gate(rows: DataFrame) -> DataFrame:
     """One row: does batching agree with single calls? rows: pos, first_run, second_run, single (arrays of candidates)."""
     first, second, single = (F.get(c, F.lit(0)) for c in ("first_run", "second_run", "single"))
@@ -78,6 +84,18 @@ def leaked(pool: DataFrame, ambiguous: DataFrame) -> DataFrame:
     return pool.select("token").intersect(ambiguous.select("token"))
 
 
+def source_counts(pool: DataFrame) -> DataFrame:
+    """source, n, mass of a merged pool."""
+    return pool.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("freq").alias("mass"))
+
+
+def against_baseline(vocab: DataFrame, tokens: int, mass: int) -> DataFrame:
+    """measure, got, documented, warning: do a vocabulary's counts still agree with documented ones? A warning, never an error."""
+    rows = vocab.agg(F.count("token").alias("t"), F.coalesce(F.sum("freq"), F.lit(0)).alias("m"))
+    each = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(c).alias("got"), F.lit(want).cast("long").alias("documented")) for name, c, want in (("tokens", "t", tokens), ("mass", "m", mass))])
+    return rows.select(F.inline(each)).withColumn("warning", F.when(F.col("got") != F.col("documented"), "differs from the documented baseline"))
+
+
 def as_json(mapping: DataFrame) -> DataFrame:
     """The map as one JSON object (small maps only: it is one value)."""
     return mapping.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "form"))))).alias("json"))
@@ -164,3 +182,39 @@ def clusters(vocab: DataFrame, threshold: float = 0.75) -> DataFrame:
     best = F.min_by("token", F.struct(-F.col("freq"), F.col("token")))
     out = named.groupBy("root").agg(best.alias("canonical_roman"), F.array_sort(F.collect_list("token")).alias("members"), F.sum("freq").alias("freq"))
     return out.select(F.get("members", F.lit(0)).alias("cluster_id"), "canonical_roman", "members", "freq")
+
+
+def signature_clusters(chosen: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """cluster_id, canonical_roman, canonical_devanagari, members, freq. chosen: token, freq, form (the chosen Devanagari form).
+
+    Tokens belong together if their forms do: equal forms, and components of similar ones. The most frequent member (then the
+    first) gives both canonical forms; a token alone is a cluster too.
+    """
+    chosen = staged(chosen.filter(F.coalesce("form", F.lit("")) != ""), "chosen")
+    forms = chosen.select("form").distinct()
+    roots = components(variant_links(forms.select(F.col("form").alias("token"), F.lit(1).alias("freq")), threshold))
+    known = forms.withColumn("id", F.xxhash64("form")).join(roots, F.col("id") == F.col("node"), "left").select("form", F.coalesce("root", "id").alias("root"))
+    best = lambda c: F.min_by(c, F.struct(-F.col("freq"), F.col("token")))
+    out = chosen.join(known, "form").groupBy("root").agg(best("token").alias("canonical_roman"), best("form").alias("canonical_devanagari"), F.array_sort(F.collect_list("token")).alias("members"), F.sum("freq").alias("freq"))
+    return out.select(F.get("members", F.lit(0)).alias("cluster_id"), "canonical_roman", "canonical_devanagari", "members", "freq")
+
+
+def match_signatures(tokens: DataFrame, clusters: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """token, form, cluster_id, normalized, similarity. tokens: token, form. The cluster whose Devanagari form is most similar
+    at or above threshold (of equals the more frequent, then the first) gives its Roman form; other tokens pass unchanged."""
+    signs = staged(clusters.groupBy(F.col("canonical_devanagari").alias("sign")).agg(F.min_by(F.struct("cluster_id", "canonical_roman", "freq"), F.struct(-F.col("freq"), F.col("cluster_id"))).alias("c")), "signatures")
+    asked = tokens.filter(F.coalesce("form", F.lit("")) != "").select("form").distinct()
+    root = F.lit(0).cast("long").alias("root")
+    near = _pairs_of_blocks(asked.select(F.col("form").alias("token"), root), signs.select(F.col("sign").alias("token"), root), threshold, None, False)
+    near = near.join(signs, F.col("b") == F.col("sign"))
+    order = F.struct(-F.round("similarity", 9), -F.col("c.freq"), F.col("c.cluster_id"))
+    best = near.groupBy(F.col("a").alias("form")).agg(F.min_by(F.struct("c", "similarity"), order).alias("m"))
+    out = tokens.join(best, "form", "left")
+    return out.select("token", "form", F.col("m.c.cluster_id").alias("cluster_id"), F.coalesce("m.c.canonical_roman", "token").alias("normalized"), F.col("m.similarity").alias("similarity"))
+
+
+def provenance(routed: DataFrame, candidates_: DataFrame, picked: DataFrame, clusters_: DataFrame) -> DataFrame:
+    """token, router_verdict, candidates, pick, reason, cluster_id: how every routed token came to its place in the map."""
+    placed = clusters_.select("cluster_id", F.explode("members").alias("token"))
+    out = routed.select("token", F.col("category").alias("router_verdict")).join(candidates_.select("token", "candidates"), "token", "left")
+    return out.join(picked.select("token", F.col("form").alias("pick"), "reason"), "token", "left").join(placed, "token", "left")

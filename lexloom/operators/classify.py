@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.lexicon import AMBIGUOUS_OVERRIDE, HINGLISH_OVERRIDE
@@ -23,23 +23,34 @@ def route(tokens: DataFrame, english: DataFrame) -> DataFrame:
     return _flagged(tokens, english, "_en").withColumn("category", category).drop("_en")
 
 
+def _segment(word: Column, first: Column, last: Column) -> Column:
+    return F.substring(word, (first + 1).cast("int"), (last - first).cast("int"))
+
+
 def fuzzy_matches(tokens: DataFrame, lemmas: DataFrame, common: DataFrame | None, exact: bool = False) -> DataFrame:
     """Distinct tokens of MIN_FUZZY letters or more within 1 edit (2 above 9 letters) of a common lemma that shares the first letter.
 
-    The length band is unrolled into an equi-join key, so only lemmas of a fitting length are compared. Without a list of
+    A lemma cut into k + 1 segments keeps one of them whole under k edits, moved by at most k places. So tokens and lemmas meet
+    by the hash of lemma length, segment number, segment text and first letter, and only then are compared. Without a list of
     common words every lemma counts. With exact, tokens that equal a lemma match whether or not it is common.
     """
     word = F.lower("token")
-    length = F.length(word)
-    wanted = tokens.select(word.alias("w")).distinct().filter(F.length("w") >= MIN_FUZZY)
-    wanted = wanted.select("w", fuzzy_limit(F.length("w")).alias("k"), F.explode(F.sequence(F.length("w") - fuzzy_limit(F.length("w")), F.length("w") + fuzzy_limit(F.length("w")))).alias("n"), F.substring("w", 1, 1).alias("c"))
+    wanted = tokens.select(word.alias("w")).distinct().withColumn("m", F.length("w")).filter(F.col("m") >= MIN_FUZZY).withColumn("k", fuzzy_limit(F.col("m")))
     every = lemmas.select(F.col("word").alias("l")).distinct()
     pool = every
     if common is not None:
         pool = pool.join(common.select(F.col("word").alias("l")), "l", "left_semi")
-    pool = pool.select("l", F.length("l").alias("n"), F.substring("l", 1, 1).alias("c"))
-    near = F.levenshtein("w", "l", 2)
-    found = wanted.join(pool, ["n", "c"]).filter((near >= 0) & (near <= F.col("k"))).select("w")
+    edge = lambda n, k, i: F.floor(n * i / (k + 1))
+    first = lambda c: F.substring(c, 1, 1)
+    pool = pool.withColumn("n", F.length("l")).filter(F.col("n") >= MIN_FUZZY - 1)
+    parts = [F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), _segment(F.col("l"), edge(F.col("n"), k, i), edge(F.col("n"), k, i + 1)).alias("s")) for k in (1, 2) for i in range(k + 1)]
+    pool = pool.select("l", "n", F.explode(F.array(*parts)).alias("p")).select("l", F.xxhash64("p.k", "n", "p.i", "p.s", first("l")).alias("key"))
+    near = wanted.select("w", "m", "k", F.explode(F.sequence(F.col("m") - F.col("k"), F.col("m") + F.col("k"))).alias("n"))
+    near = near.select("w", "k", "n", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select("w", "k", "n", "i", edge(F.col("n"), F.col("k"), F.col("i")).alias("a"), edge(F.col("n"), F.col("k"), F.col("i") + 1).alias("b"))
+    near = near.select("*", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("d")).filter((F.col("a") + F.col("d") >= 0) & (F.col("b") + F.col("d") <= F.length("w")))
+    near = near.select("w", "k", F.xxhash64("k", "n", "i", _segment(F.col("w"), F.col("a") + F.col("d"), F.col("b") + F.col("d")), first("w")).alias("key")).distinct()
+    distance = F.levenshtein("w", "l", 2)
+    found = near.join(pool, "key").filter((distance >= 0) & (distance <= F.col("k")) & (first("w") == first("l"))).select("w")
     if exact and common is not None:
         found = found.union(wanted.select("w").join(every, F.col("w") == F.col("l"), "left_semi"))
     return found.select(F.col("w").alias("word")).distinct()

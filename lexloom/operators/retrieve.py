@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import SPACE, tokens
+from lexloom.functions.text import SPACE, noise, tokens
+from lexloom.plans.joins import SMALL_ROWS, join_counted, small
+from lexloom.plans.staging import staged
 
+#: parts of a term's postings where queries are too many to broadcast; queries that meet a document at once
+SALTS, SHORT_BLOCK = 64, 1024
 #: rows of a block of queries, of the part of it that is compared at once, and of a block of vectors
 QUERY_BLOCK, QUERY_SLICE, VECTOR_BLOCK = 4096, 256, 8192
 
@@ -20,18 +24,29 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """queries: qid, query; docs: doc_id, text. Postings are cut to query terms before they are counted or shuffled."""
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
-    body = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
-    size = body.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avg_len"))
-    hits = body.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(terms, "term", "left_semi")
-    tf = hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """queries: qid, query; docs: doc_id, text. Documents are tokenised once: postings are cut to query terms before they are shuffled.
+
+    A row without a term stands for each document, so that the number and mean length of documents come from the same pass.
+    Terms and queries that pass their size test are broadcast; postings stay where they are. Beyond it, postings of a term
+    are dealt to SALTS parts.
+    """
+    asked = staged(queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "bm25-asked")
+    wanted = small(asked.select("term").distinct().withColumn("_wanted", F.lit(True)))
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("len"), F.explode(F.array_append("ts", F.lit(""))).alias("term"))
+    hits = rows.join(wanted, "term", "left").filter("_wanted or term = ''")
+    tf = staged(hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "bm25-postings")
+    size = tf.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    tf = tf.filter("term != ''")
+    df = staged(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-terms")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(size)).select("term", "doc_id", weight.alias("w"))  # one row
-    return ranked(scored.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
+    scored = join_counted(tf, df, "term", "df").crossJoin(F.broadcast(size)).select("term", "doc_id", weight.alias("w"))  # one row
+    if asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        met = scored.join(F.broadcast(asked), "term")
+    else:
+        met = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        met = met.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
+    return ranked(met.groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
 def _directions(column: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -95,20 +110,29 @@ def rerank(run: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:
 def containing(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """qid, doc_id where the document holds the query text literally.
 
-    Documents are found by the query's second to fourth words, which are whole words of any document that holds it; the few
-    queries with fewer than 5 words are compared with every document.
+    The words of a query but its first and last are whole words of any document that holds it: documents are found by up to
+    three of them in a row. Queries of fewer than three words have no such anchor; they meet every document in blocks.
     """
     words = lambda c: F.array_remove(F.split(c, f"[{SPACE}]+"), "")
-    asked = queries.select("qid", "query", words(F.col("query")).alias("w")).filter("query is not null")
-    anchored = asked.filter(F.size("w") >= 5).select("qid", "query", F.xxhash64(F.array_join(F.slice("w", 2, 3), " ")).alias("anchor"))
+    asked = staged(queries.filter("query is not null").select("qid", "query", words(F.col("query")).alias("w")), "asked")
+    inner = F.slice("w", 2, F.least(F.size("w") - 2, F.lit(3)))
+    anchored = asked.filter(F.size("w") >= 3).select("qid", F.size(inner).alias("k"), F.xxhash64(F.array_join(inner, " ")).alias("anchor"))
+    lengths = [r["k"] for r in anchored.select("k").distinct().collect()]  # three at most
     w = F.col("w")
-    n = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " ")))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.array_join(F.slice(w, i, k), " ")).alias("anchor")))
+    none = F.array().cast("array<struct<k:int,anchor:bigint>>")
+    found = F.array_distinct(F.concat(none, *[F.when(F.size(w) >= k, grams(k)).otherwise(none) for k in lengths]))
     text = docs.filter("text is not null").select("doc_id", "text", words(F.col("text")).alias("w"))
-    hits = text.select("doc_id", F.explode(F.array_distinct(grams)).alias("anchor")).join(anchored.select("anchor", "qid"), "anchor").select("doc_id", "qid").distinct()
-    long = hits.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("qid", "query"), "qid")
-    short = asked.filter(F.size("w") < 5).select("qid", "query").join(docs.select("doc_id", "text"), F.col("text").contains(F.col("query")))
-    return long.select("qid", "doc_id", "text", "query").unionByName(short.select("qid", "doc_id", "text", "query")).filter(F.col("text").contains(F.col("query"))).select("qid", "doc_id").distinct()
+    hits = text.select("doc_id", F.explode(found).alias("g")).select("doc_id", "g.k", "g.anchor").join(small(anchored), ["k", "anchor"]).select("doc_id", "qid").distinct()
+    long = staged(hits, "anchored").join(docs.select("doc_id", "text"), "doc_id").join(asked.select("qid", "query"), "qid").filter(F.col("text").contains(F.col("query"))).select("qid", "doc_id").distinct()
+    short = asked.filter(F.size("w") < 3)
+    n = -(-short.count() // SHORT_BLOCK)
+    if not n:
+        return long
+    blocks = short.groupBy(F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int").alias("b")).agg(F.collect_list(F.struct("qid", "query")).alias("qs"))
+    met = docs.filter("text is not null").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).join(blocks, "b")
+    held = F.transform(F.filter("qs", lambda q: F.col("text").contains(q["query"])), lambda q: q["qid"])
+    return long.unionByName(met.select(F.explode(held).alias("qid"), "doc_id").distinct())
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -128,8 +152,24 @@ def hit_metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3, 5
 def graded_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """map and ndcg at k. Average precision divides by the relevant documents that k ranks can hold."""
     good = qrels.select("qid", "doc_id").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
+    return _graded(judged(run.filter(F.col("rank") <= k), qrels), good, k)
+
+
+def graded_by_label(run: DataFrame, labels: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """As graded_metrics where the relevant documents are the others with the query's label. labels: doc_id, label; queries: qid, label.
+
+    Labels are counted and compared on the run; pairs of documents with a label in common are never listed.
+    """
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    good = queries.join(counts, "label").select("qid", (F.col("n") - 1).alias("n_rel")).filter("n_rel > 0")
+    rows = run.filter(F.col("rank") <= k).join(queries.withColumnRenamed("label", "_q"), "qid").join(labels.withColumnRenamed("label", "_d"), "doc_id", "left")
+    return _graded(rows.withColumn("rel", F.when(F.col("_q") == F.col("_d"), 1).otherwise(0)), good, k)
+
+
+def _graded(rows: DataFrame, good: DataFrame, k: int) -> DataFrame:
+    """rows: qid, rank, rel; good: qid, n_rel of every judged query."""
     upto = Window.partitionBy("qid").orderBy("rank")
-    rows = judged(run.filter(F.col("rank") <= k), qrels).withColumn("found", F.sum("rel").over(upto))
+    rows = rows.withColumn("found", F.sum("rel").over(upto))
     gain = F.col("rel") / F.log2(F.col("rank") + 1)
     per = rows.groupBy("qid").agg(F.sum(F.col("rel") * F.col("found") / F.col("rank")).alias("precision"), F.sum(gain).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
@@ -150,3 +190,36 @@ def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
     """Mean and largest latency of each group, and its speed-up against the slowest group's mean."""
     out = samples.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("longest"))
     return out.withColumn("speed_up", F.max("mean").over(Window.partitionBy()) / F.col("mean"))  # as many rows as groups
+
+
+def latency_totals(stages: DataFrame, baseline: str) -> DataFrame:
+    """system, total (sum of its stages' mean latencies), added (over the baseline's total) and speed_up against the slowest.
+
+    stages: system, stage, ms (any number of samples of a stage).
+    """
+    means = stages.groupBy("system", "stage").agg(F.avg("ms").alias("mean")).groupBy("system").agg(F.sum("mean").alias("total"))
+    everything = Window.partitionBy()  # as many rows as systems
+    base = F.max(F.when(F.col("system") == baseline, F.col("total"))).over(everything)
+    return means.select("system", F.round("total", 6).alias("total"), F.round(F.col("total") - base, 6).alias("added"), F.round(F.max("total").over(everything) / F.col("total"), 6).alias("speed_up"))
+
+
+def relative_drop(scores: DataFrame, baseline) -> DataFrame:
+    """system, level, score, drop: how many percent the score lies below the system's score at the baseline level."""
+    base = scores.filter(F.col("level") == baseline).select("system", F.col("score").alias("_base"))
+    drop = F.when(F.col("_base") > 0, F.round(100 * (1 - F.col("score") / F.col("_base")), 6))
+    return scores.join(base, "system", "left").select("system", "level", "score", drop.alias("drop"))
+
+
+def benchmark_pairs(docs: DataFrame, n_words: int = 8, levels: tuple[int, ...] = (1, 2, 3), seed: int = 42) -> DataFrame:
+    """qid, level, query, doc_id: a retrieval benchmark of query and passage pairs, one passage of every document at every noise level.
+
+    The passage is a run of n_words words (all words of shorter texts) whose place a seeded hash of the id draws; its document
+    is the relevant one. Texts without words give no query.
+    """
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), f"[{SPACE}]+"), "")
+    rows = docs.select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    places = F.greatest(F.size("w") - n_words + 1, F.lit(1))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    rows = rows.select("doc_id", F.array_join(F.slice("w", (draw % places + 1).cast("int"), n_words), " ").alias("passage"))
+    each = F.array(*[F.struct(F.lit(level).alias("level"), noise(F.col("passage"), level).alias("query")) for level in levels])
+    return rows.select("doc_id", F.explode(each).alias("q")).select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("q.level").cast("string")).alias("qid"), "q.level", "q.query", "doc_id")

@@ -44,6 +44,20 @@ def ranks_at_percent(covered: DataFrame, percents: list[int]) -> DataFrame:
     return covered.agg(*[(F.count_if(F.col("cum_pct") < p) + 1).alias(f"n_{p}") for p in percents])
 
 
+def share_at_rank(covered: DataFrame, ranks: list[int]) -> DataFrame:
+    """rank, share: percent of the mass that the first `rank` tokens cover (all of it beyond the last token)."""
+    at = [F.struct(F.lit(r).cast("long").alias("rank"), F.round(100 * F.max(F.when(F.col("rank") <= r, F.col("running"))) / F.max("total"), 4).alias("share")) for r in ranks]
+    return covered.agg(F.array(*at).alias("a")).select(F.inline("a"))
+
+
+def union_of(*vocabularies: DataFrame) -> DataFrame:
+    """The distinct tokens of several vocabularies."""
+    out = vocabularies[0].select("token")
+    for v in vocabularies[1:]:
+        out = out.unionByName(v.select("token"))
+    return out.distinct()
+
+
 def pilot_pool(covered: DataFrame, high: int = 80, low: int = 70, most: int = 2500) -> DataFrame:
     """Tokens up to the high percent if that takes at most `most` of them, else up to the low one."""
     ranks = ranks_at_percent(covered, [low, high])

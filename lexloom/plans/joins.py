@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: rows up to which a table is broadcast (its rows hold short values), after they have been counted
+SMALL_ROWS = 500_000
 #: a key is hot if it holds more than this part of all rows, so there are fewer than HOT_PART hot keys
 HOT_PART = 1000
 
@@ -21,3 +23,8 @@ def join_counted(rows: DataFrame, known: DataFrame, on: str, n: str) -> DataFram
     near = rows.join(F.broadcast(hot), on)
     far = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(known.filter(~is_hot), on)
     return near.unionByName(far)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most SMALL_ROWS rows; else Spark joins it as it sees fit. df is counted, so it should be staged or cheap."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df

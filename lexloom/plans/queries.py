@@ -291,7 +291,23 @@ def q27_variant_clusters(spark, sf_dir):
     return canon.clusters(staged(_vocab(spark, sf_dir), "variants"))
 
 
-@query()
+def _distance_sql(pairs: str) -> str:
+    """a, b, distance of a SELECT of distinct a, b: the table of the weighted distance, one row of it at each step."""
+    cost = lambda x: f"CASE WHEN {x} IN {_IN(L.VOWELS)} THEN {L.VOWEL_COST}::DOUBLE ELSE {L.OTHER_COST}::DOUBLE END"
+    close = lambda x, y: " OR ".join(f"({x} = '{p}' AND {y} = '{q}') OR ({x} = '{q}' AND {y} = '{p}')" for p, q in L.CLOSE_PAIRS)
+    swap = lambda x, y: f"CASE WHEN {x} = {y} THEN 0::DOUBLE WHEN {close(x, y)} THEN {L.CLOSE_COST}::DOUBLE WHEN {x} IN {_IN(L.VOWELS)} AND {y} IN {_IN(L.VOWELS)} THEN {L.VOWEL_COST}::DOUBLE ELSE {L.OTHER_COST}::DOUBLE END"
+    return f"""(WITH RECURSIVE p AS ({pairs}),
+t(a, b, i, r) AS (SELECT a, b, 0, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, acc[j] + {cost("b[j]")}), [0::DOUBLE]) FROM p
+UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, least(least(r[j + 1] + del, acc[j] + {cost("b[j]")}), r[j] + {swap("x", "b[j]")})), [r[1] + del])
+  FROM (SELECT *, a[i + 1] AS x, {cost("a[i + 1]")} AS del FROM t WHERE i < length(a)))
+SELECT a, b, r[length(b) + 1] AS distance FROM t WHERE i = length(a))"""
+
+
+_KEYS = "unnest([" + ", ".join(f"'{k}'" for k, _ in L.CANONICAL_MAP) + "])"
+
+
+@query(f"""SELECT a AS token, b AS key, round(distance, 6) AS distance, round(greatest(0, 1 - distance / greatest(length(a), length(b))), 6) AS similarity
+FROM {_distance_sql(f"SELECT token AS a, {_KEYS} AS b FROM {_freq_sql('benchmark')}")}""")
 def q28_weighted_distance(spark, sf_dir):
     keys = F.array(*[F.lit(k) for k, _ in L.CANONICAL_MAP])
     pairs = _vocab(spark, sf_dir, "benchmark").select("token", F.explode(keys).alias("key"))
@@ -299,7 +315,21 @@ def q28_weighted_distance(spark, sf_dir):
     return pairs.select(t, k, F.round(weighted_edit_distance(t, k), 6).alias("distance"), F.round(phonetic_similarity(t, k), 6).alias("similarity"))
 
 
-@query()
+_MAP_SQL = "(SELECT unnest([" + ", ".join(f"'{k}'" for k, _ in L.CANONICAL_MAP) + "]) AS k, unnest([" + ", ".join(f"'{v}'" for _, v in L.CANONICAL_MAP) + f"]) AS v, unnest(range({len(L.CANONICAL_MAP)})) AS n)"
+_MISSES = f"SELECT DISTINCT low AS a, {_KEYS} AS b FROM f WHERE plain <> '' AND hit IS NULL"
+
+
+@query(f"""WITH q AS (SELECT 'demo-' || (n - 1) AS qid, query FROM (SELECT unnest({list(L.DEMO_QUERIES)}) AS query, unnest(range(1, {len(L.DEMO_QUERIES) + 1})) AS n)
+  UNION ALL SELECT 'b-' || item_id, text FROM benchmark UNION ALL SELECT 'd-' || doc_id, text FROM documents),
+w AS (SELECT qid, list_filter(regexp_split_to_array(coalesce(query, ''), '[{T.SPACE}]+'), lambda x: x <> '') AS ws FROM q),
+t AS (SELECT qid, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM w),
+f AS (SELECT token, plain, lower(plain) AS low, v AS hit FROM (SELECT DISTINCT token, regexp_replace(token, '[^{T.WORD}{T.SPACE}]', '', 'g') AS plain FROM t) LEFT JOIN {_MAP_SQL} m ON plain <> '' AND lower(plain) = k),
+s AS (SELECT a, b, 1 - distance / greatest(length(a), length(b)) AS similarity FROM {_distance_sql(_MISSES)}),
+n AS (SELECT a, v, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, n) AS k FROM s JOIN {_MAP_SQL} m ON b = k WHERE similarity >= 0.75),
+z AS (SELECT f.token, CASE WHEN plain = '' THEN 0 WHEN hit IS NOT NULL THEN 1 WHEN n.v IS NOT NULL THEN 2 ELSE 3 END AS tier,
+  CASE WHEN plain = '' THEN token WHEN hit IS NOT NULL THEN hit WHEN n.v IS NOT NULL THEN n.v ELSE plain END AS form FROM f LEFT JOIN n ON low = a AND k = 1 AND plain <> '' AND hit IS NULL),
+g AS (SELECT qid, string_agg(form, ' ' ORDER BY pos) AS said, {", ".join(f"count(*) FILTER (tier = {i}) AS t{i}" for i in range(4))} FROM t JOIN z ON t.token = z.token GROUP BY qid)
+SELECT q.qid, md5(coalesce(said, '')) AS digest, {", ".join(f"coalesce(t{i}, 0)::INT AS n_tier_{i}" for i in range(4))} FROM q LEFT JOIN g ON q.qid = g.qid""")
 def q29_normalize_queries(spark, sf_dir):
     demo = spark.createDataFrame([(f"demo-{i}", q) for i, q in enumerate(L.DEMO_QUERIES)], "qid string, query string")
     bench = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("query"))
@@ -310,7 +340,6 @@ def q29_normalize_queries(spark, sf_dir):
     return out.select("qid", F.md5("normalized").alias("digest"), *tiers)
 
 
-_MAP_SQL = "(SELECT unnest([" + ", ".join(f"'{k}'" for k, _ in L.CANONICAL_MAP) + "]) AS k, unnest([" + ", ".join(f"'{v}'" for _, v in L.CANONICAL_MAP) + "]) AS v)"
 
 
 @query(f"""WITH d AS (SELECT unnest(['{"', '".join(L.DEMO_QUERIES)}']) AS query UNION ALL SELECT text FROM benchmark), t AS (SELECT DISTINCT unnest(regexp_split_to_array(query, '[{T.SPACE}]+')) AS token FROM d)
@@ -325,8 +354,10 @@ def _asked(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-_BM25 = f"""(WITH q AS (SELECT item_id AS qid, unnest(list_distinct({T.tokens_sql("text")})) AS term FROM benchmark),
-b AS (SELECT doc_id, {T.tokens_sql("text")} AS ts FROM documents), s AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM b),
+def _bm25_sql(asked: str, docs: str) -> str:
+    """asked: SELECT of qid, text; docs: SELECT of doc_id, text."""
+    return f"""(WITH q AS (SELECT qid, unnest(list_distinct({T.tokens_sql("text")})) AS term FROM ({asked})),
+b AS (SELECT doc_id, {T.tokens_sql("text")} AS ts FROM ({docs})), s AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM b),
 h AS (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM b),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM h WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -335,6 +366,9 @@ r AS (SELECT qid, doc_id, round(sum(w), 6) AS score FROM w JOIN q USING (term) G
 SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10)"""
 
 
+_BM25 = _bm25_sql("SELECT item_id AS qid, text FROM benchmark", "SELECT doc_id, text FROM documents")
+
+
 @query(f"SELECT * FROM {_BM25}")
 def q30_bm25(spark, sf_dir):
     return retrieve.bm25(_asked(spark, sf_dir), _docs(spark, sf_dir))
@@ -378,10 +412,9 @@ p AS (SELECT qid, sum(rel * found / rank) AS ap, sum(rel / log2(rank + 1)) AS dc
 i AS (SELECT qid, n_rel, (SELECT sum(1 / log2(x + 1)) FROM range(1, 11) t(x) WHERE x <= n_rel) AS ideal FROM n)
 SELECT count(*)::BIGINT AS n_queries, round(avg(coalesce(ap, 0) / least(n_rel, 10)), 6) AS map, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg FROM i LEFT JOIN p USING (qid)""")
 def q33_graded_metrics(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
-    qrels = v.join(q, "label").filter("vec_id != qid").select("qid", F.col("vec_id").alias("doc_id"))
-    return retrieve.graded_metrics(_neighbours(spark, sf_dir), qrels)
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    q = v.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "label")
+    return retrieve.graded_by_label(_neighbours(spark, sf_dir), v, q)
 
 
 @query("SELECT event_type, n, round(mean, 6) AS mean, longest, round(max(mean) OVER () / mean, 6) AS speed_up FROM (SELECT event_type, count(value)::BIGINT AS n, avg(value) AS mean, max(value) AS longest FROM events GROUP BY event_type)")
@@ -447,13 +480,22 @@ def q39_error_kinds(spark, sf_dir):
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
-@query(f"""WITH t AS (SELECT token, first FROM ({ORACLES["q17_examples"]})), p AS (SELECT token, replace(replace(text, chr(9), ' '), chr(10), ' ') AS s FROM t JOIN documents d ON d.doc_id = t.first)
-SELECT token, md5(concat_ws(chr(10), {_Q(L.PROMPT_HEAD[0])}, replace({_Q(L.PROMPT_HEAD[1])}, '{{token}}', token), {_Q(L.PROMPT_HEAD[2])}, '1. ' || s, {", ".join(map(_Q, L.PROMPT_TAIL))})) AS digest, length(s)::BIGINT AS n_chars FROM p""")
+@query(f"""WITH t AS (SELECT token, unnest(ids) AS doc_id, generate_subscripts(ids, 1) AS k FROM ({ORACLES["q17_examples"]})),
+p AS (SELECT token, k, replace(replace(text, chr(9), ' '), chr(10), ' ') AS s FROM t JOIN documents d ON d.doc_id = t.doc_id),
+e AS (SELECT token, string_agg(k || '. ' || s, chr(10) ORDER BY k) AS shown, sum(length(s))::BIGINT AS n_chars FROM p GROUP BY token)
+SELECT token, md5(concat_ws(chr(10), {_Q(L.PROMPT_HEAD[0])}, replace({_Q(L.PROMPT_HEAD[1])}, '{{token}}', token), {_Q(L.PROMPT_HEAD[2])}, shown, {", ".join(map(_Q, L.PROMPT_TAIL))})) AS digest, n_chars FROM e""")
 def q40_prompts(spark, sf_dir):
+    shown = _shown(spark, sf_dir)
+    total = F.aggregate("examples", F.lit(0).cast("long"), lambda a, s: a + F.length(s))
+    return shown.select("token", F.md5(adjudicate.prompt(F.col("token"), F.col("examples"))).alias("digest"), total.alias("n_chars"))
+
+
+def _shown(spark, sf_dir):
+    """token, examples: up to three whole documents of every benchmark token."""
     docs = _docs(spark, sf_dir)
-    firsts = vocab.examples(docs, _vocab(spark, sf_dir, "benchmark")).select("token", F.col("first").alias("doc_id"))
-    rows = firsts.join(docs.select("doc_id", "text"), "doc_id").withColumn("s", T.flat(F.col("text")))
-    return rows.select("token", F.md5(adjudicate.prompt(F.col("token"), F.array("s"))).alias("digest"), F.length("s").cast("long").alias("n_chars"))
+    ids = vocab.examples(docs, _vocab(spark, sf_dir, "benchmark")).select("token", F.explode("ids").alias("doc_id"))
+    lines = ids.join(docs.select("doc_id", T.flat(F.col("text")).alias("s")), "doc_id")
+    return lines.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "s"))), lambda x: x["s"]).alias("examples"))
 
 
 @query(f"WITH v AS (SELECT count(*)::BIGINT AS n, sum(freq)::BIGINT AS mass FROM {_freq_sql('documents')}) SELECT unnest(['csv', 'json', 'tsv', 'vocabulary']) AS format, n, mass FROM v")
@@ -542,10 +584,7 @@ def offline_adjudicator(text: str) -> str:
 CASE WHEN regexp_matches(token, '[0-9]') THEN 'llm_call_failed_default:ValueError: digits' WHEN length(token) < 4 THEN 'short' ELSE '' END AS reason
 FROM {_freq_sql("documents")} WHERE token IN (SELECT token FROM {_freq_sql("benchmark")})""")
 def q47_adjudicated(spark, sf_dir):
-    docs, words = _docs(spark, sf_dir), _vocab(spark, sf_dir)
-    firsts = vocab.examples(docs, _vocab(spark, sf_dir, "benchmark")).select("token", F.explode("ids").alias("doc_id"))
-    lines = firsts.join(docs.select("doc_id", T.flat(F.col("text")).alias("s")), "doc_id")
-    shown = lines.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "s"))), lambda x: x["s"]).alias("examples"))
+    words, shown = _vocab(spark, sf_dir), _shown(spark, sf_dir)
     prompts = shown.select("token", adjudicate.prompt(F.col("token"), F.col("examples")).alias("prompt"))
     answers = adjudicate.call_model(prompts, offline_adjudicator)
     return adjudicate.decide(words.join(shown, "token").join(answers, "token"))
@@ -657,6 +696,154 @@ def q62_whole_report_lines(spark, sf_dir):
     return _report_lines(_cascade(spark, sf_dir))
 
 
+def _pairs_sql(source: str, n_words: int) -> str:
+    """benchmark_pairs over a SELECT of doc_id, text."""
+    words = f"list_filter(regexp_split_to_array(coalesce(text, ''), '[{T.SPACE}]+'), lambda x: x <> '')"
+    passages = f"""SELECT doc_id, array_to_string(w[p + 1 : p + {n_words}], ' ') AS text FROM (
+  SELECT doc_id, w, ('0x' || substr(md5('42' || doc_id), 1, 8))::BIGINT % greatest(len(w) - {n_words} + 1, 1) AS p FROM (SELECT doc_id, {words} AS w FROM ({source})) WHERE len(w) > 0)"""
+    return " UNION ALL ".join(f"SELECT doc_id || '-' || {k} AS qid, {k}::INT AS level, {e} AS query, doc_id FROM ({passages})" for k, e in _NOISE.items())
+
+
+@query(_pairs_sql("SELECT doc_id, text FROM documents", 8))
+def q63_benchmark_pairs(spark, sf_dir):
+    return retrieve.benchmark_pairs(_docs(spark, sf_dir))
+
+
+_ITEMS = "SELECT item_id AS doc_id, text FROM benchmark"
+
+
+@query(f"""WITH p AS ({_pairs_sql(_ITEMS, 5)}), r AS {_bm25_sql(f"SELECT qid, query AS text FROM ({_pairs_sql(_ITEMS, 5)})", _ITEMS)},
+f AS (SELECT p.qid, level, min(rank) AS best FROM p LEFT JOIN r ON r.qid = p.qid AND r.doc_id = p.doc_id GROUP BY ALL),
+m AS (SELECT level, round(avg(coalesce(1 / best, 0)), 6) AS score FROM f GROUP BY level)
+SELECT 'bm25' AS system, level, score, CASE WHEN b > 0 THEN round(100 * (1 - score / b), 6) END AS drop FROM (SELECT *, max(score) FILTER (level = 1) OVER () AS b FROM m)""")
+def q64_noise_drop(spark, sf_dir):
+    """Generated queries against the passages that they come from: mean reciprocal rank at each noise level, and its drop against level 1."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    pairs = staged(retrieve.benchmark_pairs(items, 5), "benchmark-pairs")
+    run = retrieve.bm25(pairs.select("qid", "query"), items)
+    best = pairs.join(run, ["qid", "doc_id"], "left").groupBy("qid", "level").agg(F.min("rank").alias("best"))
+    scores = best.groupBy("level").agg(F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("score"))
+    return retrieve.relative_drop(scores.withColumn("system", F.lit("bm25")), 1)
+
+
+_PICKS = "CASE WHEN length(token) % 5 = 0 THEN '{\"pick\": 2, \"reason\": \"second\"}' WHEN length(token) % 5 = 1 THEN 'Sure: {\"pick\": \"' || token || '0\"}' WHEN length(token) % 5 = 2 THEN '{\"pick\": 0, \"reason\": \"none usable\"}' WHEN length(token) % 5 = 3 THEN '{\"pick\": 9}' END"
+
+
+@query(f"""SELECT token, CASE length(token) % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 END::INT AS pick, CASE length(token) % 5 WHEN 0 THEN reverse(token) WHEN 1 THEN token || '0' END AS form,
+CASE length(token) % 5 WHEN 0 THEN 'second' WHEN 2 THEN 'none usable' WHEN 4 THEN 'llm_call_failed:timeout' ELSE '' END AS reason
+FROM {_freq_sql("benchmark")} WHERE regexp_matches(token, '^[a-z]+$') AND token <> reverse(token)""")
+def q65_selected_candidates(spark, sf_dir):
+    t = F.col("token")
+    rows = _vocab(spark, sf_dir, "benchmark").filter(t.rlike(ASCII) & (t != F.reverse(t)))
+    rows = rows.select("token", F.array(t, F.reverse(t), F.concat(t, F.lit("0"))).alias("candidates"), F.expr(_PICKS).alias("response"), F.lit("timeout").alias("error"))
+    return adjudicate.select_candidate(rows)
+
+
+def _chosen(spark, sf_dir):
+    """Benchmark tokens with a stand-in for their Devanagari form: the token without doubled letters."""
+    return _vocab(spark, sf_dir, "benchmark").withColumn("form", F.regexp_replace(F.lower("token"), r"(.)\1+", "$1"))
+
+
+@query()
+def q66_signature_clusters(spark, sf_dir):
+    return canon.signature_clusters(_chosen(spark, sf_dir))
+
+
+@query()
+def q67_signature_matches(spark, sf_dir):
+    known = staged(canon.signature_clusters(_chosen(spark, sf_dir).filter("freq > 1")), "known-clusters")
+    asked = read(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+    return canon.match_signatures(asked.withColumn("form", F.reverse(F.reverse("token"))), known)
+
+
+@query("""SELECT p_partkey, CASE WHEN trim(k) = '' THEN 'missing' WHEN lower(trim(k)) IN ('changeme', 'change_me', 'none', 'null', 'placeholder', 'test', 'todo', 'xxx') OR starts_with(lower(trim(k)), 'your') THEN 'placeholder'
+WHEN length(trim(k)) < 10 THEN 'too short' END AS problem FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'YOUR_' || p_name WHEN 2 THEN left(p_name, 6) WHEN 3 THEN ' ' ELSE 'Test' END AS k FROM part)""")
+def q68_key_problems(spark, sf_dir):
+    m = F.col("p_partkey") % 5
+    key = F.when(m == 0, F.col("p_name")).when(m == 1, F.concat(F.lit("YOUR_"), "p_name")).when(m == 2, F.substring("p_name", 1, 6)).when(m == 3, " ").otherwise("Test")
+    return read(spark, sf_dir, "part").select("p_partkey", T.key_problem(key).alias("problem"))
+
+
+@query(f"SELECT source, count(*)::BIGINT AS n, sum(freq)::BIGINT AS mass FROM ({ORACLES['q21_merge_pool']}) GROUP BY source")
+def q69_source_counts(spark, sf_dir):
+    return canon.source_counts(q21_merge_pool(spark, sf_dir))
+
+
+_RANKS = (1, 10, 100, 1_000_000)
+
+
+@query(" UNION ALL ".join(f"SELECT {r}::BIGINT AS rank, round(100 * max(running) FILTER (rank <= {r}) / max(total), 4) AS share FROM {_COVER(_SHORT)}" for r in _RANKS))
+def q70_share_at_rank(spark, sf_dir):
+    return vocab.share_at_rank(_collisions(spark, sf_dir), list(_RANKS))
+
+
+@query()
+def q71_largest_groups(spark, sf_dir):
+    return dedup.group_sizes(q20_near_groups(spark, sf_dir))
+
+
+@query(f"""WITH v AS {_freq_sql("documents")} SELECT 'tokens' AS measure, (SELECT count(*) FROM v)::BIGINT AS got, 29579::BIGINT AS documented, CASE WHEN (SELECT count(*) FROM v) <> 29579 THEN 'differs from the documented baseline' END AS warning
+UNION ALL SELECT 'mass', (SELECT sum(freq) FROM v)::BIGINT, 165692, CASE WHEN (SELECT sum(freq) FROM v) <> 165692 THEN 'differs from the documented baseline' END""")
+def q72_against_baseline(spark, sf_dir):
+    return canon.against_baseline(_vocab(spark, sf_dir), 29579, 165692)
+
+
+@query("""WITH m AS (SELECT event_type AS system, user_id % 3 AS stage, avg(value) AS mean FROM events GROUP BY ALL), t AS (SELECT system, sum(mean) AS total FROM m GROUP BY system)
+SELECT system, round(total, 6) AS total, round(total - max(total) FILTER (system = (SELECT min(system) FROM t)) OVER (), 6) AS added, round(max(total) OVER () / total, 6) AS speed_up FROM t""")
+def q73_latency_totals(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("system"), (F.col("user_id") % 3).alias("stage"), F.col("value").alias("ms"))
+    return retrieve.latency_totals(events, events.agg(F.min("system")).first()[0])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 > 0 THEN o_totalprice / (o_orderkey % 50) * 1000 END AS ms_per_item, CASE WHEN o_orderkey % 50 > 0 THEN o_totalprice / (o_orderkey % 50) * (50 - o_orderkey % 50) / 60 END AS minutes_left FROM orders")
+def q74_progress(spark, sf_dir):
+    done = F.col("o_orderkey") % 50
+    return read(spark, sf_dir, "orders").select("o_orderkey", evaluate.progress(done, F.lit(50), F.col("o_totalprice")).alias("p")).select("o_orderkey", "p.*")
+
+
+@query(f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS pos FROM {_freq_sql("benchmark")})
+SELECT pos::BIGINT AS pos, token AS first, CASE WHEN pos % 7 <> 0 THEN token END AS second, CASE WHEN pos % 5 <> 0 THEN reverse(token) END AS single FROM v""")
+def q75_aligned_lists(spark, sf_dir):
+    v = vocab.coverage(_vocab(spark, sf_dir, "benchmark").select("token", F.lit(0).alias("freq"))).select((F.col("rank") - 1).alias("pos"), "token")
+    lists = staged(v, "aligned")
+    out = canon.aligned(lists.select("pos", F.array("token").alias("candidates")), lists.filter("pos % 7 != 0").select("pos", F.array("token").alias("candidates")), lists.filter("pos % 5 != 0").select("pos", F.array(F.reverse("token")).alias("candidates")))
+    return out.select("pos", *[F.get(c, F.lit(0)).alias(name) for c, name in (("first_run", "first"), ("second_run", "second"), ("single", "single"))])
+
+
+@query(f"""WITH m AS (SELECT label, method, count(*) AS n FROM {_LABELLED} GROUP BY ALL), r AS (SELECT row_number() OVER (ORDER BY n DESC, label, method) AS pos, label, method, n::VARCHAR AS n FROM m UNION ALL SELECT 0, 'label', 'method', 'n_tokens')
+SELECT pos::BIGINT AS pos, rtrim(rpad(label, (max(length(label)) OVER ())::INT, ' ') || '  ' || rpad(method, (max(length(method)) OVER ())::INT, ' ') || '  ' || lpad(n, (max(length(n)) OVER ())::INT, ' ')) AS line FROM r""")
+def q76_console_table(spark, sf_dir):
+    return text_tables.console(vocab.label_mass(_labelled(spark, sf_dir)).select("label", "method", "n_tokens"), [F.desc("n_tokens"), F.asc("label"), F.asc("method")])
+
+
+@query(f"SELECT label, n, repeat('#', round(40 * n / max(n) OVER ())::INT) AS bar FROM (SELECT label, count(*)::BIGINT AS n FROM {_LABELLED} GROUP BY label)")
+def q77_bars(spark, sf_dir):
+    counts = _labelled(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.bars(counts, "label", "n")
+
+
+@query(r"SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND nfc_normalize(text) = text AND NOT regexp_matches(text, '[\x{80}-\x{BF}\x{2018}\x{2019}\x{201C}\x{201D}\x{FB00}-\x{FB02}]')")
+def q78_misread_text(spark, sf_dir):
+    """Texts read as Latin-1 by mistake come back as they were (texts with signs that repair makes plain aside)."""
+    docs = _docs(spark, sf_dir).filter(~F.col("text").rlike(r"[\x{80}-\x{BF}\x{2018}\x{2019}\x{201C}\x{201D}\x{FB00}-\x{FB02}]"))
+    misread = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return docs.select("doc_id", F.md5(T.repair_unicode(misread)).alias("digest"))
+
+
+@query()
+def q79_provenance(spark, sf_dir):
+    words = staged(_chosen(spark, sf_dir), "provenance-words")
+    routed = classify.route(words.select("token"), _english(spark, sf_dir))
+    picked = adjudicate.select_candidate(words.select("token", F.array("form").alias("candidates"), F.lit('{"pick": 1, "reason": "only one"}').alias("response"), F.lit(None).cast("string").alias("error")))
+    out = canon.provenance(routed, canon.candidates(words, spelling_variants), picked, canon.signature_clusters(words))
+    return out.withColumn("candidates", F.array_join("candidates", "|"))
+
+
+@query(f"SELECT token FROM {_freq_sql('documents')} UNION SELECT token FROM {_freq_sql('benchmark')} UNION SELECT token FROM {_freq_sql('conversations')}")
+def q80_joined_vocabularies(spark, sf_dir):
+    return vocab.union_of(*(_vocab(spark, sf_dir, n) for n in ("documents", "benchmark", "conversations")))
+
+
 def flagship(spark, sf_dir):
     """Clean, count and label: the most frequent tokens of cleaned documents with their labels."""
     docs = _docs(spark, sf_dir).withColumn("text", T.clean(F.col("text")))

@@ -54,6 +54,16 @@ def markdown(summary: DataFrame, order: list[Column]) -> DataFrame:
     return summary.sparkSession.createDataFrame(head, "pos long, line string").unionByName(rows)
 
 
+def console(summary: DataFrame, order: list[Column]) -> DataFrame:
+    """pos, line: a small summary (an aggregate, never data) as an aligned text table: numbers to the right, all else to the left."""
+    numbers = {c for c, kind in summary.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double")}
+    text = summary.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in summary.columns])
+    text = summary.sparkSession.createDataFrame([(0, *summary.columns)], "pos long, " + ", ".join(f"`{c}` string" for c in summary.columns)).unionByName(text)
+    width = {c: F.max(F.length(c)).over(Window.partitionBy()) for c in summary.columns}
+    cells = [F.lpad(c, width[c], " ") if c in numbers else F.rpad(c, width[c], " ") for c in summary.columns]
+    return text.select("pos", F.rtrim(F.concat_ws("  ", *cells)).alias("line"))
+
+
 def top_lexicon(freqs: DataFrame, n: int) -> DataFrame:
     """word: the n most frequent tokens, equal ones in order of the token."""
     return freqs.orderBy(F.desc("freq"), "token").limit(n).select(F.col("token").alias("word"))

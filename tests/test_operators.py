@@ -328,3 +328,159 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
         staging.shared_dir(conf(None))
     monkeypatch.setattr(staging, "_folders", {})
     assert staging.shared_dir(conf("hdfs:///shared/")) == "hdfs:///shared/lexloom-x"
+
+
+def test_near_pairs_of_a_large_block(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 7)
+    draw = random.Random(2)
+    base = ["the " + " ".join(draw.choices(["red", "green", "blue", "river", "stone"], k=12)) for _ in range(8)]
+    rows = [(i, draw.choice(base).replace("red", draw.choice(["red", "reds", "bed"]))) for i in range(60)] + [(100 + i, "the") for i in range(3)] + [(200, ""), (201, None), (202, " ")]
+    got = {(r["a"], r["b"]): r["ratio"] for r in dedup.near_pairs(frame(spark, rows, "doc_id long, text string")).collect()}
+    texts = {i: " ".join(sorted((t or "").split())) for i, t in rows}
+    head = {i: ((t or "").split() or [""])[0] for i, t in rows}
+    want = {(a, b): round(ratio_at_least(texts[a], texts[b], 90), 4) for a, _ in rows for b, _ in rows if a < b and head[a] == head[b] and ratio_at_least(texts[a], texts[b], 90) >= 0}
+    assert got == want and len(want) > 100
+
+
+def test_near_queries_against_brute_force(spark):
+    """q19, q20 and q71 over the whole small table."""
+    from lexloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    seen, kept = set(), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect():
+        words = (r["text"] or "").split()  # no handles, tags or links in this table's cleaned forms matter for equality below
+        if " ".join(words) not in seen:
+            seen.add(" ".join(words))
+            kept.append((r["doc_id"], words))
+    cleaned = {r["doc_id"] for r in queries.q04_keep_first(spark, sf).select("doc_id").collect()}
+    assert cleaned <= {i for i, _ in kept}
+    from lexloom.functions.text import clean
+
+    texts = {r["doc_id"]: r["c"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", clean(F.col("text")).alias("c")).collect() if r["doc_id"] in cleaned}
+    by_head = {}
+    for i, t in texts.items():
+        by_head.setdefault((t.split() or [""])[0], []).append((i, " ".join(sorted(t.split()))))
+    want = {(a, b) for group in by_head.values() for a, x in group for b, y in group if a < b and ratio_at_least(x, y, 90) >= 0}
+    assert {(r["a"], r["b"]) for r in queries.q19_near_pairs(spark, sf).collect()} == want
+    root = {i: i for i in texts}
+    for _ in texts:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    groups = queries.q20_near_groups(spark, sf).collect()
+    assert {r["doc_id"]: r["root"] for r in groups} == root
+    order = sorted(set(root.values()))
+    assert all(r["group_id"] == order.index(r["root"]) and r["size"] == list(root.values()).count(r["root"]) for r in groups)
+    sizes = sorted(((-list(root.values()).count(r), r) for r in order if list(root.values()).count(r) > 1))[:20]
+    assert [(r["root"], r["size"]) for r in queries.q71_largest_groups(spark, sf).orderBy("rank").collect()] == [(r, -n) for n, r in sizes]
+
+
+def test_bm25_and_relevance_beyond_the_broadcast_bound(spark, monkeypatch):
+    from lexloom.plans import joins
+
+    docs = frame(spark, [(1, "a red cat sat on the mat today"), (2, "the the the cat"), (3, None), (4, "concatenate words"), (5, "no match here at all")], "doc_id long, text string")
+    asked = frame(spark, [(1, "the cat"), (2, "cat"), (3, "cat sat on"), (4, "red cat sat on the"), (5, "e w"), (6, None), (7, "cat sat on the mat today"), (8, "")], "qid long, query string")
+    near = sorted(map(tuple, retrieve.bm25(asked, docs).collect()))
+    held = sorted(map(tuple, retrieve.containing(asked, docs).collect()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] is not None}
+    assert held == sorted((r["qid"], i) for r in asked.collect() if r["query"] is not None for i, t in texts.items() if r["query"] in t)
+    for module in (joins, retrieve):
+        monkeypatch.setattr(module, "SMALL_ROWS", 1)
+    monkeypatch.setattr(retrieve, "SHORT_BLOCK", 1)
+    assert sorted(map(tuple, retrieve.bm25(asked, docs).collect())) == near and sorted(map(tuple, retrieve.containing(asked, docs).collect())) == held
+
+
+def test_repair_of_misread_text(spark):
+    plain = ["été", "naïve – “quoted”", "बहुत अच्छा", "smile 😀", "plain", "", "Ã alone", "É… ÈÊ", None]
+    wrong = [t and t.encode().decode("latin-1") for t in plain[:4]]
+    from lexloom.functions.text import PLAIN, repair_unicode
+
+    rows = frame(spark, [(i, t) for i, t in enumerate([*wrong, *plain, "mixed Ã© and ñ", "â€™tis"])], "i int, t string")
+    got = {r["i"]: r["r"] for r in rows.select("i", repair_unicode(F.col("t")).alias("r")).collect()}
+    signs = str.maketrans(PLAIN)
+    assert [got[i] for i in range(4)] == [t.translate(signs) for t in plain[:4]]
+    assert [got[4 + i] for i in range(len(plain))] == [t and t.translate(signs) for t in plain]
+    assert got[13] == "mixed é and ñ" and got[14] == "'tis"
+    assert rows.select(repair_unicode(F.col("t"), fixer=str.upper).alias("r")).filter("r = 'PLAIN'").count() == 1
+
+
+def test_settings(tmp_path):
+    import pytest
+
+    from lexloom.sources import settings
+
+    (tmp_path / ".env").write_text("# comment\nKEY = abcdefghijkl\nLOW=your-key-here\nSHORT=abc\n")
+    assert settings.secret("KEY", tmp_path / ".env", {}) == "abcdefghijkl" and settings.secret("KEY", tmp_path / ".env", {"KEY": "from the shell"}) == "from the shell"
+    for name in ("LOW", "SHORT", "MISSING"):
+        with pytest.raises(ValueError) as e:
+            settings.secret(name, tmp_path / ".env", {})
+        assert "your" not in str(e.value)
+    (tmp_path / "m.py").write_text("import nothing_of_the_kind\nA: set = {'x', 'y'}\nB = C = (1, 2)\nA2 = f()\n")
+    assert settings.named_literal(tmp_path / "m.py", "A") == {"x", "y"} and settings.named_literal(tmp_path / "m.py", "C") == (1, 2)
+    with pytest.raises(KeyError):
+        settings.named_literal(tmp_path / "m.py", "D")
+    assert settings.optional_module("json") and settings.optional_module("nothing_of_the_kind") is None
+
+
+def test_health_timing_and_catalogue(spark):
+    from lexloom.operators import evaluate
+
+    def model(text):
+        return '```json\n{"status": "ok"}\n```' if "JSON" in text else "fine"
+
+    def broken(text):
+        raise TimeoutError("no")
+
+    assert [(r["check"], r["ok"], r["kind"]) for r in adjudicate.health(spark, model).collect()] == [("plain", True, None), ("json", True, None)]
+    assert {r["kind"] for r in adjudicate.health(spark, broken).collect()} == {"TimeoutError"}
+    assert [(r["ok"], r["kind"]) for r in adjudicate.health(spark, lambda t: "text").collect()] == [(True, None), (False, "unparseable")]
+    assert {r["kind"] for r in adjudicate.health(spark, lambda t: " ").collect()} == {"empty"}
+    rows = {r["mode"]: r for r in evaluate.timed(spark, str.upper, lambda ws: [w.upper() for w in ws], ["a"] * 50, runs=3).collect()}
+    assert rows["single"]["runs"] == 3 and rows["batch"]["items"] == 50 and rows["single"]["max_ms"] >= rows["single"]["mean_ms"]
+    names = frame(spark, [("models/big", 0), ("models/lite-3-preview", 1), ("models/lite-9", 2)], "name string, pos int")
+    assert adjudicate.preferred(names, ["lite-1"], "lite").first()["name"] == "lite-9"
+    assert adjudicate.preferred(names, [], "huge", "lite-0").first()["name"] == "lite-0"
+
+
+def test_candidate_selection(spark):
+    rows = [("a", ["x", "y"], '{"pick": 2, "reason": "r"}', None), ("b", ["x", "y"], "so {\"pick\": \"x\"}", None), ("c", ["x"], '{"pick": 0}', None), ("d", ["x"], '{"pick": "z"}', None), ("e", ["x"], None, "boom"), ("f", ["x"], "no", None), ("g", [], '{"pick": 1}', None), ("h", ["1", "0"], '{"pick": "1"}', None)]
+    got = {r["token"]: (r["pick"], r["form"], r["reason"]) for r in adjudicate.select_candidate(frame(spark, rows, "token string, candidates array<string>, response string, error string")).collect()}
+    assert got == {"a": (2, "y", "r"), "b": (1, "x", ""), "c": (None, None, ""), "d": (None, None, ""), "e": (None, None, "llm_call_failed:boom"), "f": (None, None, "unparseable"), "g": (None, None, ""), "h": (1, "1", "")}
+    text = frame(spark, rows, "token string, candidates array<string>, response string, error string").select(adjudicate.selection_prompt(F.col("token"), F.array(F.lit("s")), F.col("candidates")).alias("p")).first()["p"]
+    assert "\n1. x\n2. y\n" in text
+
+
+def test_signature_clusters_and_matches(spark):
+    from lexloom.functions.kernels import pair_distances
+
+    draw = random.Random(7)
+    forms = sorted({"".join(draw.choices("बहतakeiou", k=draw.randint(2, 7))) for _ in range(60)})
+    chosen = [(f"t{i:03}", draw.randint(1, 9), draw.choice(forms)) for i in range(120)] + [("zz", 3, None), ("zy", 3, "")]
+    similar = lambda a, b: 1 - pair_distances([a], [b])[0] / max(len(a), len(b))
+    root = {f: f for f in forms}
+    used = sorted({f for _, _, f in chosen if f})
+    near = [(a, b) for a in used for b in used if a < b and similar(a, b) >= 0.75]
+    for _ in used:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {}
+    for t, n, f in chosen:
+        if f:
+            want.setdefault(root[f], []).append((-n, t, f))
+    made = canon.signature_clusters(frame(spark, chosen, "token string, freq long, form string"))
+    got = made.collect()
+    assert {(r["cluster_id"], r["canonical_roman"], r["canonical_devanagari"], tuple(r["members"]), r["freq"]) for r in got} == {(min(t for _, t, _ in m), min(m)[1], min(m)[2], tuple(sorted(t for _, t, _ in m)), -sum(n for n, _, _ in m)) for m in want.values()}
+    asked = [(f"q{i}", draw.choice(["", "a"]) + f + draw.choice(["", "त", "xyz"])) for i, f in enumerate(forms[:25])] + [("same", used[0]), ("none", None)]
+    found = {r["token"]: (r["cluster_id"], r["normalized"]) for r in canon.match_signatures(frame(spark, asked, "token string, form string"), made).collect()}
+    for t, f in asked:
+        best = min(((-round(similar(f, r["canonical_devanagari"]), 9), -r["freq"], r["cluster_id"], r["canonical_roman"]) for r in got if f and similar(f, r["canonical_devanagari"]) >= 0.75), default=None)
+        assert found[t] == ((best[2], best[3]) if best else (None, t))
+
+
+def test_provenance(spark):
+    from lexloom.plans import queries
+
+    rows = queries.q79_provenance(spark, "/root/testdata/sf0.001").collect()
+    words = {r["token"] for r in queries._vocab(spark, "/root/testdata/sf0.001", "benchmark").collect()}
+    assert {r["token"] for r in rows} == words and len(rows) == len(words)
+    assert all(r["cluster_id"] and r["pick"] and r["reason"] == "only one" and (r["candidates"] or any(c.isdigit() for c in r["token"])) for r in rows)
