@@ -114,21 +114,23 @@ class Tagger:
         w = self.weights[np.array([features(x) for x in words], np.int64).reshape(-1, OWN + 2)]
         return np.column_stack([w[:, :OWN].sum(axis=1), w[:, OWN], w[:, OWN + 1]])
 
-    def documents(self, texts: list[str], cache: dict[str, tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Scores of texts and their token marginals."""
+    def documents(self, texts: list[str], cache: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Scores of texts and their token marginals. cache: word -> row of the table of emissions, which it holds under the empty word."""
         tokens = [words_of(t) for t in texts]
-        new = list({w for ws in tokens for w in ws if w not in cache})
+        new = list({w for ws in tokens for w in ws}.difference(cache))
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = list({w for ws in tokens for w in ws})
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
-            cache.update(zip(some, map(tuple, self.emissions(some).tolist())))
+            before = cache.get("", np.zeros((0, 3)))
+            cache.update(zip(some, range(len(before), len(before) + len(some))))
+            cache[""] = np.concatenate([before, self.emissions(some)])
         sizes = [len(ws) for ws in tokens]
         flat, real, first = laid_out(sizes)
         if not len(flat):
             return self.score([np.zeros(0)] * len(texts)), [np.zeros(0)] * len(texts)
-        told = np.array([cache[w] for ws in tokens for w in ws])
+        told = cache[""][np.fromiter((cache[w] for ws in tokens for w in ws), np.int64, sum(sizes))]
         begins = np.concatenate(([0], np.cumsum(sizes)))[:-1][np.array(sizes) > 0]
         emission = told[:, 0].copy()
         after, before = told[:-1, 1].copy(), told[1:, 2].copy()
