@@ -7,11 +7,12 @@ moves only when that block holds a differing bit. So of 5 groups of block pivots
 in a cell keyed by the coordinates of 3 groups (10 choices). Inside a cell pairs are discarded by the largest coordinate
 difference over all pivots, survivors are verified by exact distance, and only a spanning forest of the links is emitted.
 
-A cell with more than CELL_ROWS fingerprints is cut by the coordinates of further pivots, one after the other: linked
+A cell with more than CELL_ROWS fingerprints is cut by the coordinates of LEVELS further pivots, one after the other: linked
 fingerprints differ by at most 2 there, so a fingerprint goes to the band of its coordinate and, near the upper edge, to the
-next one. What no pivot can part (fingerprints packed within a few bits of each other) takes an exact way without pairs: they
-meet at all values within one bit of them, since two values within 2 bits share such a midpoint and any two that share one are
-within 2 bits.
+next one. That parts unrelated fingerprints but not those packed within a few bits of each other, which fall into one band of
+every pivot and would only be copied by more cuts. Cells that stay crowded take an exact way without pairs, linear in their
+fingerprints: these meet at all values within one bit of them, since two values within 2 bits share such a midpoint and any two
+that share one are within 2 bits.
 
 The functions here start jobs when they are called; tables that are staged on the way are deleted as soon as they are used up,
 the others as `plans.staging` says. Joins on a fingerprint or a component broadcast the hot ones.
@@ -42,9 +43,9 @@ MAX_BITS = 2
 BLOCK_BITS = 2
 GROUPS = 5
 CELL_ROWS = 512
-#: pivots that cut crowded cells, and the width of their bands
-EXTRA, BAND = 16, 4
-BATCH = 512
+#: unrelated pivots, how many of them cut crowded cells, and the width of their bands
+EXTRA, LEVELS, BAND = 8, 2, 4
+BATCH, CELLS = 512, 64
 
 
 def pivot_table(extra: int = EXTRA) -> list[int]:
@@ -112,23 +113,17 @@ def links_in_cell(fps: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int]]:
     fps = np.sort(fps)
     bits = fps.view(np.uint64)
     coords = np.bitwise_count(bits[:, None] ^ pivots[None, :]).astype(np.int8)
-    parent = list(range(len(fps)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(len(fps))
     out = []
     for i in range(1, len(fps)):
         near = np.flatnonzero(np.abs(coords[:i] - coords[i]).max(axis=1) <= MAX_BITS)
         near = near[np.bitwise_count(bits[near] ^ bits[i]) <= MAX_BITS]
-        for j in near.tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(fps[i]), int(fps[j])))
+        joined, first = np.unique(label[near], return_index=True)
+        if len(joined):
+            out += [(int(fps[i]), int(fps[j])) for j in near[first]]
+            label[i] = joined[0]
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
     return out
 
 
@@ -136,12 +131,9 @@ def _near_links(cells: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = np.array(pivot_table(), np.int64).view(np.uint64)
         for batch in batches:
-            u, v = [], []
-            for cell in batch.column(0):
-                for a, b in links_in_cell(np.array(cell.values, np.int64), pivots):
-                    u.append(a)
-                    v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            for at in range(0, batch.num_rows, CELLS):
+                links = [x for cell in batch.column(0).slice(at, CELLS) for x in links_in_cell(np.array(cell.values, np.int64), pivots)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return cells.select("fps").mapInArrow(run, "u bigint, v bigint")
 
@@ -164,7 +156,7 @@ def links(nodes: DataFrame) -> DataFrame:
     cells = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"g{g}") for g in c]) for k, c in enumerate(choices)])
     met = _met(coded.select("fp", F.explode(cells).alias("cell")))
     tables, fine = [met], [met.filter(F.col("n") <= CELL_ROWS)]
-    for level, pivot in enumerate(pivot_table()[-EXTRA:]):
+    for level, pivot in enumerate(pivot_table()[-EXTRA:][:LEVELS]):
         crowded = met.filter(F.col("n") > CELL_ROWS)
         if not crowded.limit(1).count():
             break
