@@ -116,14 +116,14 @@ def containing(queries: DataFrame, docs: DataFrame) -> DataFrame:
     words = lambda c: F.array_remove(F.split(c, f"[{SPACE}]+"), "")
     asked = staged(queries.filter("query is not null").select("qid", "query", words(F.col("query")).alias("w")), "asked")
     inner = F.slice("w", 2, F.least(F.size("w") - 2, F.lit(3)))
-    anchored = asked.filter(F.size("w") >= 3).select("qid", F.size(inner).alias("k"), F.xxhash64(F.array_join(inner, " ")).alias("anchor"))
+    anchored = asked.filter(F.size("w") >= 3).select("qid", F.size(inner).alias("k"), F.xxhash64(F.size(inner), F.array_join(inner, " ")).alias("anchor"))
     lengths = [r["k"] for r in anchored.select("k").distinct().collect()]  # three at most
     w = F.col("w")
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.array_join(F.slice(w, i, k), " ")).alias("anchor")))
-    none = F.array().cast("array<struct<k:int,anchor:bigint>>")
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(w, i, k), " ")))
+    none = F.array().cast("array<bigint>")
     found = F.array_distinct(F.concat(none, *[F.when(F.size(w) >= k, grams(k)).otherwise(none) for k in lengths]))
     text = docs.filter("text is not null").select("doc_id", "text", words(F.col("text")).alias("w"))
-    hits = text.select("doc_id", F.explode(found).alias("g")).select("doc_id", "g.k", "g.anchor").join(small(anchored), ["k", "anchor"]).select("doc_id", "qid").distinct()
+    hits = text.select("doc_id", F.explode(found).alias("anchor")).join(small(anchored.drop("k")), "anchor").select("doc_id", "qid").distinct()
     long = staged(hits, "anchored").join(docs.select("doc_id", "text"), "doc_id").join(asked.select("qid", "query"), "qid").filter(F.col("text").contains(F.col("query"))).select("qid", "doc_id").distinct()
     short = asked.filter(F.size("w") < 3)
     n = -(-short.count() // SHORT_BLOCK)

@@ -14,19 +14,19 @@ from lexloom.plans.joins import join_counted
 from lexloom.plans.staging import staged, unstage
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
     """Every greater neighbour of a node moves to the node's least neighbour (or itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
     least = staged(least.filter("n > 0"), "stars")
-    return join_counted(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), least
+    return join_counted(both.filter("v > u"), least, "u", "n", n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
     """A node and its lesser neighbours move to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = staged(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
-    moved = join_counted(down, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    moved = join_counted(down, least, "u", "n", n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
@@ -39,9 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         if got == mark or got[0] == 0:
             break
         mark = got
-        large, centres = _large_star(now)
+        large, centres = _large_star(now, got[0])
         large = staged(large, "edges")
-        small, leaves = _small_star(large)
+        small, leaves = _small_star(large, got[0])  # moving edges adds none
         after = staged(small, "edges")
         unstage(now, large, centres, leaves)
         now = after

@@ -11,13 +11,14 @@ SMALL_ROWS = 500_000
 HOT_PART = 1000
 
 
-def join_counted(rows: DataFrame, known: DataFrame, on: str, n: str) -> DataFrame:
+def join_counted(rows: DataFrame, known: DataFrame, on: str, n: str, total: int | None = None) -> DataFrame:
     """Inner join of rows with known on a key that is unique in known and never null; column n tells how many rows hold the key.
 
     The hot keys, fewer than HOT_PART whatever the size of the tables, are broadcast, and their rows stay where they are;
-    all others are shuffled. Both tables are read more than once, so they should be staged.
+    all others are shuffled. Both tables are read more than once, so they should be staged. total: the number of rows, or a
+    bound on it, where it is known.
     """
-    total = known.agg(F.sum(n)).first()[0] or 0
+    total = (known.agg(F.sum(n)).first()[0] or 0) if total is None else total
     is_hot = F.col(n) * HOT_PART > int(total)
     hot = known.filter(is_hot)
     near = rows.join(F.broadcast(hot), on)
