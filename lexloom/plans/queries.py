@@ -882,6 +882,50 @@ def q80_joined_vocabularies(spark, sf_dir):
     return vocab.union_of(*(_vocab(spark, sf_dir, n) for n in ("documents", "benchmark", "conversations")))
 
 
+_CALL = """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 429 WHEN 2 THEN 403 WHEN 3 THEN 503 WHEN 4 THEN 400 WHEN 5 THEN 401 WHEN 6 THEN 200 END AS code,
+CASE l_returnflag WHEN 'A' THEN 'API key not valid' WHEN 'N' THEN 'PERMISSION_DENIED' END AS message, l_linestatus = 'F' AND l_linenumber = 7 AS timed_out,
+CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS INT) END AS retry_after, CAST(l_suppkey % 5 AS INT) AS streak FROM """
+
+
+@query(f"""WITH k AS (SELECT *, CASE WHEN timed_out THEN 'network-or-timeout' WHEN code = 429 THEN 'rate-limit' WHEN code IN (400, 401, 403) AND message IS NOT NULL THEN 'bad-key'
+  WHEN code BETWEEN 500 AND 599 THEN 'server-error' WHEN code IS NOT NULL THEN 'client-error' ELSE 'other' END AS kind FROM ({_CALL} lineitem))
+SELECT l_orderkey, l_linenumber, kind, least(CASE WHEN kind = 'rate-limit' THEN greatest(coalesce(retry_after + 1, 3) * streak, 10) ELSE coalesce(retry_after + 1, 3) END, 300)::INT AS wait FROM k""")
+def q81_error_kinds_of_calls(spark, sf_dir):
+    rows = spark.sql(_CALL + "{calls}", calls=read(spark, sf_dir, "lineitem"))
+    kind = adjudicate.error_kind(F.col("code"), F.col("message"), F.col("timed_out"))
+    return rows.select("l_orderkey", "l_linenumber", kind.alias("kind"), adjudicate.back_off(kind, F.col("retry_after"), F.col("streak")).alias("wait"))
+
+
+@query(f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS pos FROM {_freq_sql("benchmark")})
+SELECT count(*)::BIGINT AS n, true AS complete, count(*) FILTER (pos % 7 = 0) = 0 AS deterministic, count(*) FILTER (pos % 5 = 0 OR reverse(token) <> token)::BIGINT AS mismatches, count(*) FILTER (pos % 7 = 0 OR pos % 5 = 0 OR reverse(token) <> token) = 0 AS trusted FROM v""")
+def q82_gate_of_aligned_lists(spark, sf_dir):
+    rows = q75_aligned_lists(spark, sf_dir)
+    return canon.batch_gate(rows.select("pos", *[F.when(F.col(c).isNotNull(), F.array(c)).alias(name) for c, name in (("first", "first_run"), ("second", "second_run"), ("single", "single"))]))
+
+
+@query(f"""SELECT '{{' || string_agg('"' || token || '":"' || reverse(token) || '"', ',' ORDER BY token) || '}}' AS json FROM {_freq_sql("benchmark")} WHERE regexp_matches(token, '^[a-z]+$')""")
+def q83_benchmark_map_as_json(spark, sf_dir):
+    words = _vocab(spark, sf_dir, "benchmark").filter(F.col("token").rlike(ASCII))
+    return canon.as_json(words.select("token", F.reverse("token").alias("form")))
+
+
+@query(f"""WITH w AS (SELECT token, label, CASE WHEN length(token) < 4 THEN 'HINGLISH' ELSE 'ENGLISH' END AS want FROM {_LABELLED}),
+c AS (SELECT count(*) FILTER (label = want) AS correct, count(*) FILTER (label IN ('UNCERTAIN_NEEDS_LLM', 'AMBIGUOUS')) AS deferred, count(*) AS total FROM w)
+SELECT correct::BIGINT AS correct, deferred::BIGINT AS deferred, (total - correct - deferred)::BIGINT AS wrong, round(100 * correct / total, 4) AS accuracy FROM c""")
+def q84_tally_of_vocabulary(spark, sf_dir):
+    """The self-test's tally over the whole vocabulary: short tokens stand in for Hinglish ones."""
+    labelled = staged(_labelled(spark, sf_dir), "tally")
+    return classify.self_test(labelled, labelled.select("token", F.when(F.length("token") < 4, "HINGLISH").otherwise("ENGLISH").alias("want")))
+
+
+@query("SELECT coalesce(max(p_name), 'none') AS name FROM part WHERE contains(p_name, 'a')")
+def q85_preferred_part(spark, sf_dir):
+    """The preferred name is the last of its family in the catalogue, which lists it under a prefix."""
+    names = read(spark, sf_dir, "part").select(F.concat(F.lit("models/"), "p_name").alias("name"), F.col("p_partkey").alias("pos"))
+    best = names.filter(F.col("name").contains("a")).agg(F.max("name")).first()[0]
+    return adjudicate.preferred(names, ["no such name", (best or "").removeprefix("models/")], "a", "none")
+
+
 def flagship(spark, sf_dir):
     """Clean, count and label: the most frequent tokens of cleaned documents with their labels."""
     docs = _docs(spark, sf_dir).withColumn("text", T.clean(F.col("text")))
