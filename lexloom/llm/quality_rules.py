@@ -59,6 +59,8 @@ class Rules:
     inner_end: str = rf"[{MARKS}][{CLOSERS}]*[{WS}]|[\x{{3002}}\x{{FF01}}\x{{FF1F}}\x{{964}}]"
     long_line: int = 15
     symbols: str = r"[#*$%&|<>]"
+    #: what every mark that is counted holds at least one of; lines without any are not searched for each kind
+    any_mark: str = r"[#*$%&|<>!?\x{00BB}\x{203A}\x{2022}]"
     #: a line with more symbols than this per 100 words fails
     symbols_per_100: int = 50
     #: a line with more `!` and `?` than this per 100 words fails
@@ -83,13 +85,12 @@ def _line_fails(line: Column, n: Column, r: Rules) -> Column:
     ended = (line.rlike(r.sentence_end) & ~line.rlike(r.broken_end)) | ((n >= r.long_line) & line.rlike(r.inner_end))
     menu = F.regexp_count(line, F.lit(r.menu))
     furniture = ((menu >= r.menu_words) & (100 * menu >= r.menu_per_100 * n)) | F.lower(line).rlike(r.boilerplate)
-    return (
-        ~ended
-        | (F.regexp_count(line, F.lit(r.nav)) >= r.nav_marks)
+    marked = (
+        (F.regexp_count(line, F.lit(r.nav)) >= r.nav_marks)
         | (100 * F.regexp_count(line, F.lit(r.symbols)) > r.symbols_per_100 * n)
         | (100 * F.regexp_count(line, F.lit("[!?]")) > r.shouts_per_100 * n)
-        | ((n <= r.short_line) & furniture)
     )
+    return ~ended | (line.rlike(r.any_mark) & marked) | ((n <= r.short_line) & furniture)
 
 
 def with_measures(df: DataFrame, text: str = "text", rules: Rules = Rules(), out: str = "_q") -> DataFrame:
@@ -99,16 +100,9 @@ def with_measures(df: DataFrame, text: str = "text", rules: Rules = Rules(), out
     # lambda never recomputes it for every element.
     df = df.withColumn(out, F.struct(words_of(F.col(text)).alias("w"), F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{WS}]")).alias("l")))
     w, n = F.col(f"{out}.w"), F.size(f"{out}.w")
-    # Hash of each 3-word window with its position, sorted: windows that occur twice become neighbours.
-    windows = F.when(
-        n >= 3,
-        F.sort_array(
-            F.transform(
-                F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(n - 1, F.lit(0))).alias("b"), F.slice(w, 3, F.greatest(n - 2, F.lit(0))).alias("c")),
-                lambda t, i: F.struct(F.when(t["c"].isNotNull(), F.xxhash64(t["a"], t["b"], t["c"])).alias("h"), i.alias("p")),
-            )
-        ),
-    )
+    # Hash of each 3-word window, in order of place.
+    triple = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), triple))
     counted = F.transform(F.col(f"{out}.l"), lambda x: F.struct(x.alias("t"), F.regexp_count(x, F.lit(f"[^{WS}]+")).alias("n")))
     lines = F.transform(counted, lambda x: F.struct(x["t"].alias("t"), _line_fails(x["t"], x["n"], rules).alias("f"), x["n"].alias("n")))
     df = df.withColumn(
@@ -123,6 +117,11 @@ def with_measures(df: DataFrame, text: str = "text", rules: Rules = Rules(), out
             lines.alias("l"),
         ),
     )
+    # Only texts with a repeated hash are sorted: windows that occur twice become neighbours.
+    s = F.col(f"{out}.s")
+    placed = F.sort_array(F.transform(s, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    fields = [F.col(f"{out}.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "w", "l")]
+    df = df.withColumn(out, F.struct(*fields, F.when(F.size(F.array_distinct(s)) < F.size(s), placed).alias("s")))
     s, w = F.col(f"{out}.s"), F.col(f"{out}.w")
     # Neighbours by hash are compared word by word.
     same = lambda a, b: (a["h"] == b["h"]) & (F.get(w, a["p"]) == F.get(w, b["p"])) & (F.get(w, a["p"] + 1) == F.get(w, b["p"] + 1)) & (F.get(w, a["p"] + 2) == F.get(w, b["p"] + 2))
