@@ -1,7 +1,7 @@
 """Toxicity by a linear-chain conditional random field over tokens (operator 9).
 
-Token labels come from document labels: in the training sample, words and word beginnings whose documents are significantly
-and mostly toxic mark the tokens of toxic documents; every other token is clean. A two-state chain with features of the
+Token labels come from document labels: in the training sample, words and word beginnings whose documents (or documents with two
+or more of them) are significantly and mostly toxic mark the tokens of toxic documents; every other token is clean. A two-state chain with features of the
 word, its beginnings, its ending, its shape and its neighbours is fitted on those tokens by gradient descent in numpy.
 Forward-backward marginals tag tokens; a logistic layer over a document's marginals gives its score, and runs of tagged tokens
 its spans.
@@ -36,7 +36,7 @@ PER_LABEL, MAX_PIECES = 1500, 256
 PIECE = 64
 DIMS = 1 << 18
 CACHE = 300_000
-OWN = 7
+OWN, POOLED = 7, 6
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -210,27 +210,30 @@ def whole_marginals(emission: np.ndarray, real: np.ndarray, first: np.ndarray, l
 
 
 def pooled(each: list[np.ndarray]) -> np.ndarray:
-    """Document features of token marginals: bias, tagged tokens (log), largest marginal, second largest, density of tags."""
-    out = np.zeros((len(each), 5))
+    """Document features of token marginals: bias, tagged tokens (log), largest marginal, second largest, density of tags, and
+    the evidence of all tokens together (minus the logarithm of the chance that none is toxic)."""
+    out = np.zeros((len(each), POOLED))
     out[:, 0] = 1
     for k, p in enumerate(each):
         if len(p):
             top = np.partition(p, -2)[-2:] if len(p) > 1 else np.array([0.0, p[0]])
             total = p[p >= 0.5].sum()
-            out[k, 1:] = np.log1p(total), top[1], top[0], min(1.0, 20 * total / len(p))
+            none = -np.log(1.001 - p[p >= 0.3]).sum()
+            out[k, 1:] = np.log1p(total), top[1], top[0], min(1.0, 20 * total / len(p)), np.log1p(none)
     return out
 
 
-def marking_features(docs: list[np.ndarray], y: np.ndarray) -> set[int]:
-    """Hashed features whose documents are mostly toxic (precision 0.85), beyond the chance that many features leave.
+def marking_features(docs: list[np.ndarray], seen: list[np.ndarray], y: np.ndarray) -> set[int]:
+    """Hashed features of docs whose documents are mostly toxic (precision 0.85), beyond the chance that many features leave.
 
-    Copies of a document support a feature once: documents count by a minimum hash of their rarer features, and of three
-    such hashes the one with the fewest distinct values decides.
+    Copies of a document support a feature once: documents count by a minimum hash of the rarer features seen in them, and of
+    three such hashes the one with the fewest distinct values decides.
     """
     base = y.mean()
-    hits = np.zeros((2, DIMS), np.int64)
-    for fs, label in zip(docs, y):
+    hits, all_hits = np.zeros((2, DIMS), np.int64), np.zeros(DIMS, np.int64)
+    for fs, every, label in zip(docs, seen, y):
         hits[label, fs] += 1
+        all_hits[every] += 1
     chance = np.log(max((hits[1] >= 4).sum(), 1)) + 2
 
     def marks(clean: int, toxic: int) -> bool:
@@ -242,8 +245,8 @@ def marking_features(docs: list[np.ndarray], y: np.ndarray) -> set[int]:
     likely = {int(f) for f in np.flatnonzero(hits[1]) if marks(*hits[:, f])}
     prime = (1 << 31) - 1
     factors = np.random.default_rng(5).integers(1, prime, (3, 2))
-    rare = hits.sum(axis=0) <= max(3, 0.02 * len(docs))
-    own = [fs[rare[fs]] for fs in docs]
+    rare = all_hits <= max(3, 0.02 * len(docs))
+    own = [fs[rare[fs]] for fs in seen]
     signatures = [[int(((a * (fs + 1) + b) % prime).min()) if len(fs) else -1 - k for k, fs in enumerate(own)] for a, b in factors]
     where = defaultdict(list)
     for k, fs in enumerate(docs):
@@ -253,6 +256,28 @@ def marking_features(docs: list[np.ndarray], y: np.ndarray) -> set[int]:
     return {f for f, ks in where.items() if marks(int(hits[0, f]), min(len({s[k] for k in ks}) for s in signatures))}
 
 
+def marked_tokens(token: np.ndarray, edges: np.ndarray, usable: np.ndarray, skip: int, y: np.ndarray) -> np.ndarray:
+    """Which tokens of toxic documents are toxic: those with a feature that marks them by being there, or by being there twice or more."""
+    seen, twice = [], []
+    for a, b in zip(edges, edges[1:]):
+        fs, n = np.unique(usable[token[a:b]], return_counts=True)
+        n = n[fs != skip]
+        fs = fs[fs != skip]
+        seen.append(fs)
+        twice.append(fs[n >= 2])
+    once = np.zeros(DIMS, bool)
+    once[list(marking_features(seen, seen, y))] = True
+    often = np.zeros(DIMS, bool)
+    often[list(marking_features(twice, seen, y))] = True
+    by_type = once[usable].any(axis=1)
+    gold = np.zeros(len(token), bool)
+    for k in np.flatnonzero(y):
+        here = slice(edges[k], edges[k + 1])
+        again = twice[k][often[twice[k]]]
+        gold[here] = by_type[token[here]] | np.isin(usable[token[here]], again).any(axis=1)
+    return gold
+
+
 def pieces_of(text: str) -> list[str]:
     """The tokens of a text in pieces of PIECE (joined by spaces); of more than MAX_PIECES those of least hash, in order."""
     words = words_of(text)
@@ -270,7 +295,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 25) -> Tagger:
 def train_pieces(docs: list[list[str]], labels: list[int], epochs: int = 25) -> Tagger:
     """docs: the pieces of each document. Every piece is a chain of its own here."""
     y = np.array(labels, np.int64)
-    blank = Tagger(np.zeros(DIMS), np.zeros((2, 2)), np.array([0.0, -6.0]), np.zeros(5), fitted=False)
+    blank = Tagger(np.zeros(DIMS), np.zeros((2, 2)), np.array([0.0, -6.0]), np.zeros(POOLED), fitted=False)
     if len(set(labels)) < 2:
         return blank
     types: dict[str, int] = {}
@@ -290,12 +315,10 @@ def train_pieces(docs: list[list[str]], labels: list[int], epochs: int = 25) ->
     sizes, owner = np.array([len(r) for r in rows]), np.array(owner)
     token, doc = np.concatenate(rows), np.repeat(owner, sizes)
     edges = np.searchsorted(doc, np.arange(len(docs) + 1))
-    marks = marking_features([np.setdiff1d(usable[np.unique(token[a:b])], skip) for a, b in zip(edges, edges[1:])], y)
-    marked = np.isin(usable, np.fromiter(marks, np.int64, len(marks))).any(axis=1)
     flat, real, _ = laid_out(sizes.tolist())
     place, gold = np.zeros(real.shape, np.int32), np.zeros(real.shape, np.int8)
     place.reshape(-1)[flat] = token
-    gold.reshape(-1)[flat] = marked[token] & (y[doc] == 1)
+    gold.reshape(-1)[flat] = marked_tokens(token, edges, usable, skip, y)
     g_pair = np.array([[((gold[:, :-1] == i) & (gold[:, 1:] == j) & real[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
     g_start = np.array([(gold[:, 0] == k).sum() for k in (0, 1)], float)
     weights, move, start = np.zeros(DIMS), np.zeros((2, 2)), np.array([0.0, -4.0])
@@ -334,11 +357,11 @@ def train_pieces(docs: list[list[str]], labels: list[int], epochs: int = 25) ->
         emission, live = emitted(s)
         filled[s : s + 4096] = whole_marginals(emission, live, np.arange(len(live) + 1), move, start)
     p = filled.reshape(-1)[flat].astype(float)
-    x, w = pooled(np.split(p, edges[1:-1])), np.zeros(5)
+    x, w = pooled(np.split(p, edges[1:-1])), np.zeros(POOLED)
     for _ in range(30):  # Newton steps of a lightly penalised logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (y - q) - 0.1 * w
-        w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(5), grad)
+        w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(POOLED), grad)
     return Tagger(weights, move, start, w)
 
 
