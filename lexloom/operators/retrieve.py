@@ -115,11 +115,12 @@ def containing(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """
     words = lambda c: F.array_remove(F.split(c, f"[{SPACE}]+"), "")
     asked = staged(queries.filter("query is not null").select("qid", "query", words(F.col("query")).alias("w")), "asked")
-    inner = F.slice("w", 2, F.least(F.size("w") - 2, F.lit(3)))
-    anchored = asked.filter(F.size("w") >= 3).select("qid", F.size(inner).alias("k"), F.xxhash64(F.size(inner), F.array_join(inner, " ")).alias("anchor"))
+    run = lambda first, k: F.xxhash64(F.lit(k), *[F.get("w", first + j) for j in range(k)])
+    k = F.least(F.size("w") - 2, F.lit(3))
+    anchored = asked.filter(F.size("w") >= 3).select("qid", k.alias("k"), F.when(k == 1, run(F.lit(1), 1)).when(k == 2, run(F.lit(1), 2)).otherwise(run(F.lit(1), 3)).alias("anchor"))
     lengths = [r["k"] for r in anchored.select("k").distinct().collect()]  # three at most
     w = F.col("w")
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(w, i, k), " ")))
+    grams = lambda k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: run(i, k))
     none = F.array().cast("array<bigint>")
     found = F.array_distinct(F.concat(none, *[F.when(F.size(w) >= k, grams(k)).otherwise(none) for k in lengths]))
     text = docs.filter("text is not null").select("doc_id", "text", words(F.col("text")).alias("w"))
