@@ -249,3 +249,23 @@ def test_line_rules_of_many_scripts_and_menus(spark):
     lost = {k: r["lost_words"] > 0.5 * r["n_words"] for k, r in got.items()}
     assert {k for k, bad in lost.items() if bad} == {4, 5, 8, 9}
     assert got[1]["kept"] and got[2]["kept"] and got[3]["kept"] and got[10]["kept"]
+
+
+def test_textual_ids(spark, messy):
+    """Every operator takes ids that are no numbers."""
+    named = messy.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    some = spark.createDataFrame([("d1", 1, 0), ("d5", 0, 1), (None, 1, 1)], "doc_id string, quality int, toxic int")
+    ids = sorted(map(str, (r["doc_id"] for r in named.select("doc_id").collect())))
+    out = [
+        quality_rules.quality_report(named),
+        mixing.mix_report(named),
+        simhash.near_duplicates(named),
+        language_id.predict(named, language_id.fit(named, F.lit(True))),
+        quality_model.score(named, quality_model.fit(named, some, F.lit(True))),
+        pieces.encode_documents(named, model_bytes()),
+        toxicity.tag(named, toxicity.fit(named, some, F.lit(True))),
+        resharding.reshard_report(named),
+    ]
+    for df in out:
+        assert sorted(map(str, (r["doc_id"] for r in df.select("doc_id").collect()))) == ids
+    assert {r["component_id"] for r in out[2].filter("fingerprint = '0000000000000000'").collect()} == {"d2"}
