@@ -484,3 +484,24 @@ def test_provenance(spark):
     words = {r["token"] for r in queries._vocab(spark, "/root/testdata/sf0.001", "benchmark").collect()}
     assert {r["token"] for r in rows} == words and len(rows) == len(words)
     assert all(r["cluster_id"] and r["pick"] and r["reason"] == "only one" and (r["candidates"] or any(c.isdigit() for c in r["token"])) for r in rows)
+
+
+def test_close_pairs_against_all_pairs(spark, monkeypatch):
+    """The kernel agrees with single comparisons, and near pairs never send a text once for each pair."""
+    from lexloom.functions import kernels
+
+    draw = random.Random(7)
+    base = ["".join(draw.choices("abcdé नx", k=draw.randint(0, 300))) for _ in range(4)]
+    some = lambda n: ["".join(c if draw.random() > 0.08 else draw.choice(["", "a", "bb"]) for c in draw.choice(base)) for _ in range(n)] + [""]
+    for pairs, few, percent in ((5, 1, 90), (4096, 1, 80), (4096, 64, 90), (7, 3, 60)):
+        monkeypatch.setattr(kernels, "PAIRS", pairs)
+        monkeypatch.setattr(kernels, "FEW_PAIRS", few)
+        x, y = some(14) + [""], some(9)
+        for right in (y, None):
+            i, j, ratio = kernels.close_pairs(x, right, percent)
+            got = {(a, b) if right else (min(a, b), max(a, b)): round(r, 6) for a, b, r in zip(i.tolist(), j.tolist(), ratio.tolist())}
+            every = {(a, b): ratio_at_least(x[a], (right or x)[b], percent) for a in range(len(x)) for b in range(0 if right else a + 1, len(right or x))}
+            assert len(got) == len(i) and got == {k: round(r, 6) for k, r in every.items() if r >= 0}
+    rows = [(i, "the " + " ".join(draw.choices(["red", "green", "stone"], k=9))) for i in range(40)]
+    plan = dedup.near_pairs(frame(spark, rows, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "FlatMapGroupsInPandas" in plan
