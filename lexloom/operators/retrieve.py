@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.functions.text import SPACE, noise, tokens
 from lexloom.plans.joins import SMALL_ROWS, join_counted, small
@@ -13,6 +19,8 @@ from lexloom.plans.staging import staged
 
 #: parts of a term's postings where queries are too many to broadcast; queries that meet a document at once
 SALTS, SHORT_BLOCK = 64, 1024
+#: scores of queries and documents that a task holds at once
+SCORES = 2_000_000
 #: rows of a block of queries, of the part of it that is compared at once, and of a block of vectors
 QUERY_BLOCK, QUERY_SLICE, VECTOR_BLOCK = 4096, 256, 8192
 
@@ -24,13 +32,73 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """queries: qid, query; docs: doc_id, text. Documents are tokenised once: postings are cut to query terms before they are shuffled.
+    """queries: qid, query; docs: doc_id, text. Documents are tokenised once.
+
+    Queries that pass their size test go to every task; a document is then counted and scored where it is, and only the best
+    k of a batch are shuffled. More queries, or ids that several rows share, meet postings in joins.
+    """
+    asked = staged(queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "bm25-asked")
+    if asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS and docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return ranked(_scored_in_place(asked, docs, k, k1, b), k)
+    return _bm25_by_joins(asked, docs, k, k1, b)
+
+
+def _scored_in_place(asked: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """qid, doc_id, score of the best k documents of every batch (more if scores are equal) for every query."""
+    pairs = asked.collect()  # at most SMALL_ROWS
+    terms = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in pairs))}
+    asking = {q: i for i, q in enumerate(dict.fromkeys(r["qid"] for r in pairs))}
+    names = list(asking)
+    links = sorted((terms[r["term"]], asking[r["qid"]]) for r in pairs)
+    askers = np.array([q for _, q in links], np.int64)
+    upto = np.searchsorted([t for t, _ in links], np.arange(len(terms) + 1)) if links else np.zeros(1, np.int64)
+    ids, qids = docs.schema["doc_id"].dataType, asked.schema["qid"].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, held, often = [], [], []
+            for text in batch.column(1):
+                words = text.as_py().split(" ") if text.as_py() else []
+                tf = Counter(terms[w] for w in words if w in terms)
+                sizes.append(len(words))
+                held.append(list(tf))
+                often.append(list(tf.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(held, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.int32()))], ["doc_id", "len", "t", "tf"])
+
+    counted = docs.select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("words")).mapInArrow(count, f"doc_id {ids.simpleString()}, len int, t array<int>, tf array<int>")
+    counted = staged(counted, "bm25-postings")
+    n, avg_len = counted.agg(F.count(F.lit(1)), F.avg("len")).first()
+    df = np.zeros(len(terms))
+    for r in counted.select(F.explode("t").alias("t")).groupBy("t").count().collect():  # as many rows as terms
+        df[r["t"]] = r["count"]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    most = max(1, SCORES // max(1, len(names)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, most) for at in range(0, whole.num_rows, most)):
+                sizes, t, tf = batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+                weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / avg_len)) if len(t) else np.zeros(0)
+                each = upto[t + 1] - upto[t] if len(t) else np.zeros(0, np.int64)
+                at = np.repeat(np.cumsum(each) - each, each)
+                asker = askers[np.repeat(upto[t], each) + np.arange(len(at)) - at] if len(at) else np.zeros(0, np.int64)
+                total = np.bincount(asker * batch.num_rows + np.repeat(doc, each), np.repeat(weight, each), len(names) * batch.num_rows).astype(float).reshape(len(names), batch.num_rows)
+                best = np.partition(total, -k, axis=1)[:, -k] if k < batch.num_rows else np.zeros(len(names))
+                q, d = np.nonzero((total > 0) & (total >= best[:, None] - 2e-6))  # what rounding makes equal stays
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], to_arrow_type(qids)), batch.column(0).take(pa.array(d)), pa.array(total[q, d])], ["qid", "doc_id", "score"])
+
+    scored = counted.mapInArrow(score, f"qid {qids.simpleString()}, doc_id {ids.simpleString()}, score double")
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def _bm25_by_joins(asked: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """As _scored_in_place with joins, for any number of queries.
 
     A row without a term stands for each document, so that the number and mean length of documents come from the same pass.
     Terms and queries that pass their size test are broadcast; postings stay where they are. Beyond it, postings of a term
     are dealt to SALTS parts.
     """
-    asked = staged(queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "bm25-asked")
     wanted = small(asked.select("term").distinct().withColumn("_wanted", F.lit(True)))
     rows = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("len"), F.explode(F.array_append("ts", F.lit(""))).alias("term"))
     hits = rows.join(wanted, "term", "left").filter("_wanted or term = ''")
@@ -125,7 +193,7 @@ def containing(queries: DataFrame, docs: DataFrame) -> DataFrame:
     found = F.array_distinct(F.concat(none, *[F.when(F.size(w) >= k, grams(k)).otherwise(none) for k in lengths]))
     text = docs.filter("text is not null").select("doc_id", "text", words(F.col("text")).alias("w"))
     hits = text.select("doc_id", F.explode(found).alias("anchor")).join(small(anchored.drop("k")), "anchor").select("doc_id", "qid").distinct()
-    long = staged(hits, "anchored").join(docs.select("doc_id", "text"), "doc_id").join(asked.select("qid", "query"), "qid").filter(F.col("text").contains(F.col("query"))).select("qid", "doc_id").distinct()
+    long = docs.select("doc_id", "text").join(small(staged(hits, "anchored")), "doc_id").join(asked.select("qid", "query"), "qid").filter(F.col("text").contains(F.col("query"))).select("qid", "doc_id").distinct()
     short = asked.filter(F.size("w") < 3)
     n = -(-short.count() // SHORT_BLOCK)
     if not n:

@@ -11,6 +11,7 @@ from lexloom.functions import lexicon as L
 from lexloom.functions import text as T
 from lexloom.functions.kernels import matcher_ratio, phonetic_similarity, weighted_edit_distance
 from lexloom.operators import adjudicate, canon, classify, dedup, evaluate, normalize, retrieve, vocab
+from lexloom.plans.joins import small
 from lexloom.plans.staging import shared_dir, staged
 from lexloom.sources import text_tables
 from lexloom.streaming import vocab_stream
@@ -424,7 +425,7 @@ def q32_relevance(spark, sf_dir):
 SELECT count(*)::BIGINT AS n_queries, round(avg(coalesce(1 / best, 0)), 6) AS mrr, """ + ", ".join(f"round(avg(CASE WHEN best <= {k} THEN 1 ELSE 0 END), 6) AS hit_{k}" for k in (1, 3, 5)) + " FROM f")
 def q32b_hit_metrics(spark, sf_dir):
     asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
-    return retrieve.hit_metrics(retrieve.bm25(asked, docs), retrieve.containing(asked, docs))
+    return retrieve.hit_metrics(retrieve.bm25(asked, docs), staged(retrieve.containing(asked, docs), "relevant"))
 
 
 @query(f"""WITH g AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label),
@@ -478,7 +479,7 @@ b AS (SELECT q.qid, count(r.qid) AS n, min(CASE WHEN g.doc_id IS NOT NULL THEN r
 SELECT CASE WHEN n = 0 THEN 'nothing_retrieved' WHEN best IS NULL THEN 'not_retrieved' WHEN best > 1 THEN 'low_rank' ELSE 'hit' END AS cause, count(*)::BIGINT AS n FROM b GROUP BY cause""")
 def q38_failure_causes(spark, sf_dir):
     asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
-    return retrieve.failures(retrieve.bm25(asked, docs), retrieve.containing(asked, docs), k=1)
+    return retrieve.failures(retrieve.bm25(asked, docs), staged(retrieve.containing(asked, docs), "relevant"), k=1)
 
 
 _ERRORS = [
@@ -560,9 +561,10 @@ s AS (SELECT r.*, round(len(list_intersect(qt, dt)) / len(list_distinct(list_con
 SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score2 DESC, rank) AS rank, score, score2 FROM s""")
 def q43_rerank(spark, sf_dir):
     asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
-    run = retrieve.bm25(asked, docs)
+    run = staged(retrieve.bm25(asked, docs), "bm25-run")
     distinct = lambda c: F.array_distinct(T.tokens(F.col(c)))
-    pairs = run.select("qid", "doc_id").join(asked.select("qid", distinct("query").alias("q")), "qid").join(docs.select("doc_id", distinct("text").alias("d")), "doc_id")
+    found = docs.select("doc_id", "text").join(small(run.select("qid", "doc_id")), "doc_id").select("qid", "doc_id", distinct("text").alias("d"))
+    pairs = found.join(asked.select("qid", distinct("query").alias("q")), "qid")
     shared = F.round(F.size(F.array_intersect("q", "d")) / F.size(F.array_union("q", "d")), 6)
     return retrieve.rerank(run, pairs.select("qid", "doc_id", shared.alias("score2")))
 

@@ -505,3 +505,20 @@ def test_close_pairs_against_all_pairs(spark, monkeypatch):
     rows = [(i, "the " + " ".join(draw.choices(["red", "green", "stone"], k=9))) for i in range(40)]
     plan = dedup.near_pairs(frame(spark, rows, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "FlatMapGroupsInPandas" in plan
+
+
+def test_bm25_scores_documents_where_they_are(spark, monkeypatch):
+    """Only the best of each batch are shuffled; ids that several rows share, and batches of any size, give the same rows as joins."""
+    draw = random.Random(3)
+    docs = frame(spark, [(i, " ".join(draw.choices("red green blue stone river sea".split(), k=draw.randint(0, 9))) if i % 9 else None) for i in range(80)], "doc_id long, text string").repartition(3)
+    asked = frame(spark, [(1, "red stone"), (2, "sea"), (2, "river river"), (3, None), (4, "absent")], "qid long, query string")
+    run = lambda docs_: sorted(map(tuple, retrieve.bm25(asked, docs_, 5).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(retrieve, "SMALL_ROWS", 1)
+        want, doubled = run(docs), run(docs.union(docs.filter("doc_id < 9")))
+    assert run(docs.union(docs.filter("doc_id < 9"))) == doubled and len(want) == 10
+    monkeypatch.setattr(retrieve, "_bm25_by_joins", None)
+    for scores in (2_000_000, 20, 1):
+        monkeypatch.setattr(retrieve, "SCORES", scores)
+        assert run(docs) == want
+    assert "Join" not in retrieve.bm25(asked, docs)._jdf.queryExecution().optimizedPlan().toString()
