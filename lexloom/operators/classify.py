@@ -48,7 +48,7 @@ def fuzzy_matches(tokens: DataFrame, lemmas: DataFrame, common: DataFrame | None
     near = wanted.select("w", "m", "k", F.explode(F.sequence(F.col("m") - F.col("k"), F.col("m") + F.col("k"))).alias("n"))
     near = near.select("w", "k", "n", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select("w", "k", "n", "i", edge(F.col("n"), F.col("k"), F.col("i")).alias("a"), edge(F.col("n"), F.col("k"), F.col("i") + 1).alias("b"))
     near = near.select("*", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("d")).filter((F.col("a") + F.col("d") >= 0) & (F.col("b") + F.col("d") <= F.length("w")))
-    near = near.select("w", "k", F.xxhash64("k", "n", "i", _segment(F.col("w"), F.col("a") + F.col("d"), F.col("b") + F.col("d")), first("w")).alias("key")).distinct()
+    near = near.select("w", "k", F.xxhash64("k", "n", "i", _segment(F.col("w"), F.col("a") + F.col("d"), F.col("b") + F.col("d")), first("w")).alias("key"))  # a word's few equal keys go with the matches' distinct
     distance = F.levenshtein("w", "l", 2)
     found = near.join(pool, "key").filter((distance >= 0) & (distance <= F.col("k")) & (first("w") == first("l"))).select("w")
     if exact and common is not None:

@@ -522,3 +522,13 @@ def test_bm25_scores_documents_where_they_are(spark, monkeypatch):
         monkeypatch.setattr(retrieve, "SCORES", scores)
         assert run(docs) == want
     assert "Join" not in retrieve.bm25(asked, docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_of_fuzzy_matches_are_not_held(spark):
+    """The segment keys of a token stream through their join: no aggregate holds them, and equal keys of a word give one row."""
+    import re
+
+    got = classify.fuzzy_matches(frame(spark, [("aaaaaaaab",), ("aaaaaaaaaaab",)], "token string"), frame(spark, [("aaaaaaaaa",), ("aaaaaaaaaaaa",)], "word string"), None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and not re.search(r"Aggregate \[[^\]]*key#", plan)
+    assert sorted(r["word"] for r in got.collect()) == ["aaaaaaaaaaab", "aaaaaaaab"]
