@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import tokens
 
 
-def stream_documents(spark: SparkSession, path: str, schema: str = "doc_id long, text string", files: int = 1) -> DataFrame:
+def stream_documents(spark: SparkSession, path: str, schema: str = "doc_id long, text string", files: int | None = None) -> DataFrame:
+    """files: how many files a micro-batch takes; by default as many as tasks run at once, so that no batch leaves cores idle."""
+    files = files or max(1, spark.sparkContext.defaultParallelism)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 

@@ -532,3 +532,25 @@ def test_keys_of_fuzzy_matches_are_not_held(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and not re.search(r"Aggregate \[[^\]]*key#", plan)
     assert sorted(r["word"] for r in got.collect()) == ["aaaaaaaaaaab", "aaaaaaaab"]
+
+
+def test_micro_batches_take_as_many_files_as_tasks(spark, tmp_path):
+    from lexloom.streaming import vocab_stream
+
+    frame(spark, [(i, f"word {i}") for i in range(40)], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "in"))
+    stream = vocab_stream.stream_documents(spark, str(tmp_path / "in"))
+    vocab_stream.append_labelled(stream, lambda batch: batch.select("doc_id"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert len(list((tmp_path / "out").glob("batch=*"))) <= -(-8 // spark.sparkContext.defaultParallelism)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(40))
+
+
+def test_consonants_rule_out_only_distant_keys():
+    from lexloom.functions import kernels
+    from lexloom.functions.lexicon import CANONICAL_MAP
+
+    draw, keys = random.Random(5), [k.lower() for k, _ in CANONICAL_MAP]
+    words = ["".join(c if draw.random() > 0.15 else draw.choice("aeiouhtvwjzk") for c in draw.choice(keys)) + draw.choice(["", "a", "h"]) for _ in range(500)] + ["", "नम", "x" * 50]
+    for threshold in (0.5, 0.75, 0.9):
+        near = kernels._may_match(words, keys, threshold)
+        assert near.mean() < 0.7
+        assert all(near[i][kernels.similarities(words, k) >= threshold].all() for i, k in enumerate(keys))
