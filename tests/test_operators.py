@@ -554,3 +554,12 @@ def test_consonants_rule_out_only_distant_keys():
         near = kernels._may_match(words, keys, threshold)
         assert near.mean() < 0.7
         assert all(near[i][kernels.similarities(words, k) >= threshold].all() for i, k in enumerate(keys))
+
+
+def test_groups_of_tokens_meet_without_a_cross_join(spark, monkeypatch):
+    vocab_ = frame(spark, [(w, 1) for w in ("acha", "achha", "hal", "haall", "khabar", "khabr", "x1", "नमस्ते", "नमस्तै")], "token string, freq long")
+    want = sorted(map(tuple, canon.variant_pairs(vocab_).collect()))
+    monkeypatch.setattr(canon, "GROUP_ROWS", 2)
+    pairs = canon.variant_pairs(vocab_)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == want and ("acha", "achha") in {p[:2] for p in want}
